@@ -59,7 +59,7 @@ def evidence_class(df: DataFrame, keys: list[str], team: str, school: str) -> Da
     """Whether the non-blank teams and schools of a key agree, with representative and list."""
     t, s = F.nullif(F.trim(team), F.lit("")), F.nullif(F.trim(school), F.lit(""))
     g = df.select(*keys, t.alias("__t"), s.alias("__s")).groupBy(*keys).agg(
-        F.count_distinct("__t").alias("teams"), F.count_distinct("__s").alias("schools"), F.min("__t").alias("team"), F.expr("listagg(DISTINCT __s, '|') WITHIN GROUP (ORDER BY __s)").alias("school_list")
+        F.count_distinct("__t").alias("teams"), F.count_distinct("__s").alias("schools"), F.min("__t").alias("team"), F.nullif(F.array_join(F.sort_array(F.collect_set("__s")), "|"), F.lit("")).alias("school_list")
     )
     c = F.when((F.col("teams") == 0) & (F.col("schools") == 0), "none").when(F.col("teams") == 1, "consistent_team").when(F.col("schools") == 1, "consistent_school_multiple_teams").otherwise("mixed")
     return g.withColumn("evidence", c)
