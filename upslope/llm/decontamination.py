@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from upslope.llm._text import _MIX, finalize, utf8, word_hashes
 from upslope.scratch import materialize
 
-#: Masks of weight 6 over windows of 6 to 12 words; a substitution leaves the seeds intact that ignore its place.
-SEEDS = ("111111", "11010111", "1011001101", "110010100011")
+#: Masks of weight 6 over windows of 6 to 10 words; a substitution leaves the seeds intact that ignore its place.
+SEEDS = ("111111", "1110111", "11010111", "1011001101")
 _EDGE = "\"'`.,;:!?()[]{}<>*_"
 
 

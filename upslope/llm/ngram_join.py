@@ -9,9 +9,11 @@ lists decide.
 1. One pass over the texts writes every node's sorted set and finds shingles that
    are frequent within a task; the most frequent ones go last in the order.
    They only steer the order: a shingle missing there costs time, not links.
-2. The inverted lists of the first shingles are cut down to stars, within a
-   task and then across tasks, so a list of m nodes leaves m - 1 edges.  The
-   components of these edges are the candidate groups.
+2. Inverted lists of the first shingles give candidates.  Of a list up to
+   ``SHORT_LIST`` nodes all pairs are counted; a pair stays if what its prefixes share
+   leaves the required overlap within reach.  A longer list is cut down to a
+   star, within a task and then across tasks, so a list of m nodes leaves m - 1
+   edges.  The components of pairs and stars are the candidate groups.
 3. Each group is joined on whole sets with DivideSkip: the short lists of a node are
    merged, the L longest are probed by binary search for the nodes that
    occur often enough in the short ones, and a pair stays if the shared
@@ -39,6 +41,10 @@ from upslope.scratch import drop_tables, materialize
 #: Entries of the table of frequent shingles, the only broadcast (8 bytes each).
 MAX_FREQUENT = 1 << 20
 _BUCKETS = 1 << 12
+#: Longest inverted list of which all pairs are counted.
+SHORT_LIST = 16
+#: Shingles that a task holds at once.
+_HELD = 2_000_000
 
 
 def required(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -46,6 +52,12 @@ def required(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return (percent * n + 99) // 100
 
 
+def _columns(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[tuple]:
+    """The rows of a batch as Python values, a slice at a time."""
+    for k in range(0, batch.num_rows, rows):
+        yield from zip(*(c.to_pylist() for c in batch.slice(k, rows).columns), strict=True)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -55,7 +67,7 @@ def _node_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             items = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
             raw = [x.tobytes() for x in items]
             node = [xxhash.xxh3_64_intdigest(r, seed=len(r)) - (1 << 63) if r else None for r in raw]
@@ -81,13 +93,13 @@ def _frequent(nodes: DataFrame, least: int = 8) -> np.ndarray:
             return pa.RecordBatch.from_arrays([_signed(u), pa.array(c, pa.int64())], names=["h", "c"])
 
         for batch in batches:
-            for node, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for node, items in _columns(batch):
                 if node in seen:
                     continue
                 seen.add(node)
                 parts.append(np.frombuffer(items, np.uint64))
                 held += len(parts[-1])
-                if held > 4_000_000:
+                if held > _HELD:
                     yield flush()
                     parts, held = [], 0
                     seen = set()
@@ -97,95 +109,163 @@ def _frequent(nodes: DataFrame, least: int = 8) -> np.ndarray:
     counts = nodes.where("node is not null").select("node", "items").mapInArrow(local, "h long, c long")
     top = counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
     rows = top.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toPandas()
-    rank = np.argsort(rows["h"].to_numpy(np.int64).view(np.uint64))
-    return np.stack([rows["h"].to_numpy(np.int64).view(np.uint64)[rank], rows["c"].to_numpy(np.int64).view(np.uint64)[rank]])
+    h, c = rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
+    place = np.empty(len(h), np.uint64)
+    place[np.lexsort((h, c))] = np.arange(len(h), dtype=np.uint64)
+    order = np.argsort(h)
+    return np.stack([h[order], place[order]])
+
 
+def prefix(items: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The shingles of a set that come first in the common order, and the place of the last of them.
 
-def prefix(items: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of a set that come first in the common order."""
+    Places grow with the order: half the hash for ordinary shingles, then the
+    frequent ones by count.
+    """
     size = len(items) - required(len(items), percent) + 1
-    at = np.searchsorted(frequent[0], items)
-    at[at == frequent.shape[1]] = 0
-    weight = np.zeros(len(items), np.uint64)
+    place = items >> np.uint64(1)
     if frequent.shape[1]:
+        at = np.searchsorted(frequent[0], items)
+        at[at == frequent.shape[1]] = 0
         hit = frequent[0][at] == items
-        weight[hit] = frequent[1][at[hit]]
-    return items[np.lexsort((items, weight))[:size]]
+        place[hit] = frequent[1][at[hit]] + np.uint64(1 << 63)
+    first = np.argsort(place, kind="stable")[:size]
+    return items[first], int(place[first[-1]] >> np.uint64(1))
 
 
-def _star(h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of equal hashes keep the least node; edges lead from the others to it."""
-    order = np.lexsort((node, h))
-    h, node = h[order], node[order]
+def _star(h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the nodes of each hash to the first of them; ``h`` is sorted."""
     first = np.ones(len(h), bool)
     first[1:] = h[1:] != h[:-1]
     head = node[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))] if len(h) else node
     edge = head != node
-    return h[first], node[first], node[edge], head[edge]
+    return node[edge], head[edge]
+
+
+def _lengths(h: np.ndarray) -> np.ndarray:
+    """Of each entry of a sorted array the number of equal ones."""
+    cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, int)
+    return np.repeat(np.diff(cuts), np.diff(cuts))
+
 
+def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each occurs."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, int)
+    return x[first], y[first], np.diff(np.concatenate([first, [len(x)]]))
 
-def _edges(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.unique(np.stack([src, dst], 1), axis=0) if len(src) else np.empty((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1]
+
+PAIR, EDGE, NODE = 0, 1, 2
 
 
 def _candidate_edges(nodes: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """Star edges (src, dst) between nodes that share a shingle of their prefixes."""
+    """Edges (src, dst) between nodes that may be similar; pairs that share no path of them are not."""
     shared = nodes.sparkSession.sparkContext.broadcast(frequent)
-    schema = "bucket int, a binary, b binary"
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             h = np.concatenate(hs)
             node = np.repeat(np.array(ids, np.int64), [len(x) for x in hs])
-            h, node, src, dst = _star(h, node)
+            order = np.lexsort((node, h))
+            h, node = h[order], node[order]
+            again = np.concatenate([[False], (h[1:] == h[:-1]) & (node[1:] == node[:-1])])
+            h, node = h[~again], node[~again]
+            long = _lengths(h) > SHORT_LIST
+            src, dst = _star(h[long], node[long])
+            src, dst, _ = _counted(src, dst)
+            heads = long & np.concatenate([[True], h[1:] != h[:-1]])
+            keep = ~long | heads
+            h, node, star = h[keep], node[keep], heads[keep]
             bucket = (h >> np.uint64(52)).astype(np.int32)  # h is sorted, and so are the buckets
             cuts = np.flatnonzero(np.diff(bucket)) + 1
-            rows = [(-1, s.tobytes(), d.tobytes()) for s, d in [_edges(src, dst)]]
-            rows += [(int(k[0]), x.tobytes(), y.tobytes()) for k, x, y in zip(np.split(bucket, cuts), np.split(h, cuts), np.split(node, cuts), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "a", "b"])
+            rows = [(int(k[0]), -1, *(x.tobytes() for x in part)) for k, *part in zip(*(np.split(x, cuts) for x in (bucket, h, node, star)), strict=True) if len(k)]
+            own = int(ids[0]) & (_BUCKETS - 1)
+            rows.append((own, EDGE, src.tobytes(), dst.tobytes(), b""))
+            rows.append((own, NODE, np.array(ids, np.int64).tobytes(), np.array(places, np.int64).tobytes(), np.array(sizes, np.int64).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "kind", "a", "b", "c"])
 
-        hs, ids, held = [], [], 0
+        hs, ids, places, sizes, held = [], [], [], [], 0
         for batch in batches:
-            for node, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hs.append(prefix(np.frombuffer(items, np.uint64), shared.value, percent))
+            for node, raw in _columns(batch):
+                items = np.frombuffer(raw, np.uint64)
+                first, place = prefix(items, shared.value, percent)
+                hs.append(first)
                 ids.append(node)
-                held += len(hs[-1])
-                if held > 4_000_000:
+                places.append(place)
+                sizes.append(len(items))
+                held += len(first)
+                if held > _HELD // 2:
                     yield flush()
-                    hs, ids, held = [], [], 0
+                    hs, ids, places, sizes, held = [], [], [], [], 0
         if hs:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, ns, bucket = [], [], None
-
-        def flush() -> pa.RecordBatch:
-            _, _, src, dst = _star(np.concatenate(hs), np.concatenate(ns))
-            src, dst = _edges(src, dst)
-            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+        hs, ns, stars, bucket = [], [], [], None
+        xs, ys, held = [], [], 0
+
+        def out(kind: int, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), *(pa.array(v.astype(np.int64)) for v in (x, y, m))], names=["kind", "x", "y", "m"])
+
+        def close() -> pa.RecordBatch:
+            nonlocal held
+            h, node, star = np.concatenate(hs), np.concatenate(ns), np.concatenate(stars)
+            order = np.lexsort((node, h))
+            h, node, star = h[order], node[order], star[order]
+            again = np.concatenate([[False], (h[1:] == h[:-1]) & (node[1:] == node[:-1])])
+            starred = np.unique(h[star])
+            h, node = h[~again], node[~again]
+            long = (_lengths(h) > SHORT_LIST) | np.isin(h, starred)
+            src, dst, m = _counted(*_star(h[long], node[long]))
+            h, node = h[~long], node[~long]
+            for d in range(1, SHORT_LIST):
+                same = h[d:] == h[:-d]
+                if not same.any():
+                    break
+                xs.append(node[:-d][same])
+                ys.append(node[d:][same])
+                held += int(same.sum())
+            return out(EDGE, src, dst, m)
 
         for batch in batches:
-            for k, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for k, kind, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if kind != -1:
+                    x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                    yield out(kind, x, y, np.frombuffer(c, np.int64) if c else np.ones(len(x)))
+                    continue
                 if k != bucket and hs:
-                    yield flush()
-                    hs, ns = [], []
+                    yield close()
+                    hs, ns, stars = [], [], []
+                    if held > 2_000_000:
+                        yield out(PAIR, *_counted(np.concatenate(xs), np.concatenate(ys)))
+                        xs, ys, held = [], [], 0
                 bucket = k
                 hs.append(np.frombuffer(a, np.uint64))
                 ns.append(np.frombuffer(b, np.int64))
+                stars.append(np.frombuffer(c, bool))
         if hs:
-            yield flush()
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64), pa.int64()) for x in (a, b)], names=["src", "dst"])
-
-    posted = materialize(nodes.where("node is not null").select("node", "items").mapInArrow(lists, schema), "ngram-lists")
-    local = posted.where("bucket < 0").select("a", "b").mapInArrow(unpack, "src long, dst long")
-    spread = posted.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
-    edges = materialize(local.union(spread.mapInArrow(meet, "src long, dst long")), "ngram-edges")
-    drop_tables(posted)
+            yield close()
+        if xs:
+            yield out(PAIR, *_counted(np.concatenate(xs), np.concatenate(ys)))
+
+    schema = "bucket int, kind int, a binary, b binary, c binary"
+    posted = nodes.where("node is not null").select("node", "items").mapInArrow(lists, schema)
+    dealt = posted.repartition("bucket").sortWithinPartitions("bucket")
+    met = materialize(dealt.mapInArrow(meet, "kind int, x long, y long, m long"), "ngram-met")
+    pairs = met.where(F.col("kind") == PAIR).groupBy("x", "y").agg(F.sum("m").alias("m"))
+    info = met.where(F.col("kind") == NODE).groupBy(F.col("x").alias("node")).agg(F.first("y").alias("place"), F.first("m").alias("n"))
+    near = pairs.join(info.select(F.col("node").alias("x"), F.col("place").alias("px"), F.col("n").alias("nx")), "x")
+    near = near.join(info.select(F.col("node").alias("y"), F.col("place").alias("py"), F.col("n").alias("ny")), "y")
+    # up to the smaller last place all shared shingles are counted; beyond it that set has required(n) - 1 more
+    bound = F.when(F.col("px") < F.col("py"), F.col("nx")).when(F.col("px") > F.col("py"), F.col("ny")).otherwise(F.greatest("nx", "ny"))
+    rest = F.floor((bound * percent + 99) / 100) - 1
+    reach = (100 + percent) * (F.col("m") + rest) >= percent * (F.col("nx") + F.col("ny"))
+    alike = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    near = near.where(reach & alike).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    stars = met.where(F.col("kind") == EDGE).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    edges = materialize(near.union(stars).distinct(), "ngram-edges")
+    drop_tables(met)
     return edges
 
 
@@ -269,7 +349,7 @@ def _join_groups(members: DataFrame, percent: int) -> DataFrame:
         rows: list[tuple] = []
         task = None
         for batch in batches:
-            for t, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for t, *row in _columns(batch):
                 if t != task and rows:
                     yield one(rows)
                     rows = []
@@ -292,7 +372,7 @@ def _candidate_bits(groups: DataFrame, bits: int = 1 << 24) -> np.ndarray:
     return out
 
 
-def similar_sets(nodes: DataFrame, percent: int, block_shingles: int = 1_500_000) -> DataFrame:
+def similar_sets(nodes: DataFrame, percent: int, block_shingles: int = 1_000_000) -> DataFrame:
     """(node, component, links): class and number of links to rows with other sets, of nodes with links.
 
     ``nodes`` is a written table (id, n, node, items).

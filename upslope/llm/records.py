@@ -20,7 +20,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,7 @@ _MASK_DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<qI")
 _FOOT = struct.Struct("<I")
+_NEAR_SPACE = [x for c in b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f" for x in (b" " + bytes([c]), bytes([c]) + b" ")]
 
 
 def masked_crc(data: bytes) -> int:
@@ -77,49 +77,71 @@ class Encoder:
 
     Pieces are cut at single spaces between other characters: the tokenizer's own
     pre-tokenization always separates there and puts the space in front of the next
-    word, so ids of pieces concatenate to ids of the text.  Texts where a space stands beside
-    other white space, or that hold a special token, are encoded whole.  Known
-    pieces are kept in two generations of bounded size.
+    word, so ids of pieces concatenate to ids of the text.  Unknown pieces are
+    encoded a few dozen to a string and told apart by the tokens that begin with a
+    space.  Texts where a space stands beside other white space, or that hold a
+    special token, are encoded whole.  Known pieces are kept in two generations
+    of bounded size.
     """
 
-    def __init__(self, path: str, pieces: int = 400_000):
+    def __init__(self, path: str, pieces: int = 150_000, joined: int = 50):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.begins[i] = token.startswith("\u0120")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = pieces
+        self.pieces, self.joined = pieces, joined
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        shown = [t.decode("utf-8", "replace") for t in texts]
+        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(shown, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece with a space in front."""
+        out: list[bytes] = []
+        groups = [pieces[i : i + self.joined] for i in range(0, len(pieces), self.joined)]
+        for group, raw in zip(groups, self._encode([b" " + b" ".join(g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.begins[np.frombuffer(raw, self.width)]) * self.width.itemsize
+            if len(cuts) == len(group):
+                cuts = [*cuts.tolist(), len(raw)]
+                out += [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+            else:
+                out += self._encode([b" " + p for p in group])
+        return out
 
     def _plain(self, text: bytes) -> bool:
         if any(s in text for s in self.special):
             return False
+        if text.isascii():
+            return not any(x in text for x in _NEAR_SPACE)
         shown = text.decode("utf-8", "replace")
-        return text.isascii() and not any(x in text for x in (b"  ", b" \n", b"\n ", b" \t", b"\t ", b" \r", b"\r ", b" \x0b", b"\x0b ", b" \x0c", b"\x0c ", b" \x1c", b" \x1d", b" \x1e", b" \x1f")) or (
-            not text.isascii() and "  " not in shown and not any(a.isspace() for x in shown.split(" ") if x for a in (x[0], x[-1]))
-        )
+        return "  " not in shown and not any(a.isspace() for x in shown.split(" ") if x for a in (x[0], x[-1]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as packed little-endian integers."""
         split = [t.split(b" ") if self._plain(t) else None for t in texts]
-        wanted = {b" " + p for s in split if s for p in s[1:]}
-        wanted |= {s[0] for s in split if s}
+        wanted: set[bytes] = set()
+        for s in split:
+            if s is not None:
+                wanted.update(s[1:])
         wanted.difference_update(self.young)
-        fresh = []
-        for p in wanted:
-            known = self.old.get(p)
-            if known is None:
-                fresh.append(p)
-            else:
-                self.young[p] = known
-        self.young.update(zip(fresh, self._encode([p.decode("utf-8", "replace") for p in fresh]), strict=True))
+        known = wanted.intersection(self.old)
+        self.young.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        fresh = [p for p in wanted if p not in known]
+        blank = b"" in wanted and b"" not in known
+        if blank:
+            fresh.remove(b"")
+            self.young[b""] = self._encode([b" "])[0]
+        self.young.update(zip(fresh, self._encode_pieces(fresh), strict=True))
         get = self.young.__getitem__
-        whole = iter(self._encode([t.decode("utf-8", "replace") for t, s in zip(texts, split, strict=True) if s is None]))
-        out = [next(whole) if s is None else get(s[0]) + b"".join(map(get, map(bytes.__add__, repeat(b" "), s[1:]))) for s in split]
+        heads = self._encode([t if s is None else s[0] for t, s in zip(texts, split, strict=True)])
+        out = [head if s is None else head + b"".join(map(get, s[1:])) for head, s in zip(heads, split, strict=True)]
         if len(self.young) > self.pieces:
             self.young, self.old = {}, self.young
         return out
