@@ -146,3 +146,40 @@ def page_fields(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
         F.regexp_count(html, F.lit(r"(?i)<p[ >]")).cast("long").alias("paragraphs"),
         F.regexp_count(html, F.lit(r"(?i)<a ")).cast("long").alias("links"),
     )
+
+
+_RECORD_LINE = re.compile(r"^(?P<mark>\d[\d:.'\"\- ]*m?)\s{2,}(?P<holder>[^\d,][^,]*?)(?:,\s*(?P<school>.*?))?(?:\s{2,}(?P<date>.*\d{4}))?$")
+
+
+def parse_record_text(text: str) -> list[tuple[str, str, str, str | None, str | None]]:
+    """(event, mark, holder, school, date) of a plain-text record list: a line without a mark names the event of those below it."""
+    event, out = "", []
+    for line in text.splitlines():
+        line = line.strip()
+        m = _RECORD_LINE.match(line)
+        if m and event:
+            out.append((event, m["mark"].strip(), m["holder"].strip(), m["school"] or None, m["date"] or None))
+        elif line and not m:
+            event = line.rstrip(":")
+    return out
+
+
+def parse_record_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Records of each page, from its table rows or, without any, from its text line by line."""
+    kind = pages.schema[id_col].dataType.simpleString()
+    names = ["id", "row_index", "event", "mark", "holder", "school", "record_date"]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                reader = TableReader()
+                reader.feed(html or "")
+                reader.close()
+                rows = [(c[0], c[1], c[2], *([*c[3:5], None, None][:2])) for _, c, _ in reader.rows if len(c) >= 3 and any(x.isdigit() for x in c[1])]
+                rows = rows or parse_record_text(re.sub(r"<[^>]*>", "\n", html or ""))
+                out += [(page, i, *r) for i, r in enumerate(rows)]
+            kinds = [batch.schema.field(0).type, pa.int32(), *[pa.string()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
+
+    return pages.select(id_col, html_col).mapInArrow(parse, f"id {kind}, row_index int, event string, mark string, holder string, school string, record_date string").withColumnRenamed("id", id_col)
