@@ -110,3 +110,12 @@ def test_rank_strength_of_one(spark):
     df = spark.createDataFrame([(1, 1), (1, 3), (3, 3)], "r int, n int")
     assert [r[0] for r in df.select(exprs.rank_strength("r", "n")).collect()] == [1.0, 1.0, 0.0]
     assert df.select(exprs.rank_strength("r", "n", None)).first()[0] is None
+
+
+def test_name_similarity_and_best_match(spark):
+    from upslope.functions.similarity import best_match
+
+    left = spark.createDataFrame([(1, "José Núñez"), (1, "Ann Lee"), (2, None)], "team int, a string")
+    right = spark.createDataFrame([(1, "Jose Nunez"), (1, "Jon Nunes"), (2, "Ann Lee")], "team int, b string")
+    got = best_match(left, right, ["team"], "a", "b").collect()
+    assert [(r.a, r.b, r.similarity) for r in got] == [("José Núñez", "Jose Nunez", 1.0)]

@@ -121,3 +121,20 @@ def test_scratch_tables(spark):
     assert df.count() == 3 and "upslope-" in shared_dir(spark)
     with pytest.raises(ValueError):
         drop_path(spark, "/somewhere/else")
+
+
+def test_record_text_names_events_between_marks():
+    text = "Long Jump:\n7.45m  A Holder, School X  May 1, 2001\nnothing here\n10.5  B Other"
+    assert pages.parse_record_text(text) == [("Long Jump", "7.45m", "A Holder", "School X", "May 1, 2001"), ("nothing here", "10.5", "B Other", None, None)]
+
+
+def test_resumed_chunks_parse_each_key_once(spark):
+    from upslope.sources import resume
+
+    c = catalog.Catalog(spark, new_path(spark, "resume"))
+    first, every = spark.range(10).toDF("k"), spark.range(30).toDF("k")
+    parse = lambda df: df.withColumn("v", F.col("k") + 1)
+    assert resume.process_in_chunks(c, "raw", "t", first, "k", parse, 2) == 2
+    resume.process_in_chunks(c, "raw", "t", every, "k", parse, 3)
+    assert resume.process_in_chunks(c, "raw", "t", every, "k", parse, 3) == 0
+    assert sorted(r.k for r in c.read("raw", "t").collect()) == list(range(30))
