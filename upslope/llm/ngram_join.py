@@ -38,11 +38,11 @@ from upslope.llm._text import shingle_hashes, utf8
 from upslope.operators.graph import connected_components
 from upslope.scratch import drop_tables, materialize
 
-#: Entries of the table of frequent shingles, the only broadcast (8 bytes each).
-MAX_FREQUENT = 1 << 20
+#: Entries of the table of frequent shingles (16 bytes each when broadcast).
+MAX_FREQUENT = 1 << 18
 _BUCKETS = 1 << 12
 #: Longest inverted list of which all pairs are counted.
-SHORT_LIST = 16
+SHORT_LIST = 64
 #: Shingles that a task holds at once.
 _HELD = 2_000_000
 
@@ -79,7 +79,7 @@ def _node_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
     return docs.select(F.col(id_col), utf8(F.col(text_col)).alias("t")).mapInArrow(sets, f"id {kind}, n long, node long, items binary")
 
 
-def _frequent(nodes: DataFrame, least: int = 8) -> np.ndarray:
+def _frequent(nodes: DataFrame, least: int = 2) -> np.ndarray:
     """Sorted hashes of shingles that stand out within tasks, most frequent ones at most ``MAX_FREQUENT``."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +107,21 @@ def _frequent(nodes: DataFrame, least: int = 8) -> np.ndarray:
             yield flush()
 
     counts = nodes.where("node is not null").select("node", "items").mapInArrow(local, "h long, c long")
-    top = counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    rows = top.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toPandas()
-    h, c = rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
+    top = materialize(counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least), "ngram-frequent")
+    above = 0
+    for r in top.groupBy(F.least("c", F.lit(4096)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
+        if above and above + r.n > MAX_FREQUENT:
+            break
+        above, least = above + r.n, r.c
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], names=["h", "c"])
+
+    rows = top.where(F.col("c") >= least).limit(MAX_FREQUENT).mapInArrow(pack, "h binary, c binary").collect()
+    drop_tables(top)
+    h = np.frombuffer(b"".join(bytes(r.h) for r in rows), np.int64).view(np.uint64)
+    c = np.frombuffer(b"".join(bytes(r.c) for r in rows), np.int64)
     place = np.empty(len(h), np.uint64)
     place[np.lexsort((h, c))] = np.arange(len(h), dtype=np.uint64)
     order = np.argsort(h)
@@ -366,9 +378,14 @@ def _candidate_bits(groups: DataFrame, bits: int = 1 << 24) -> np.ndarray:
     """A bitmap of fixed size with a bit for each candidate node; it only spares work."""
     word = F.pmod("node", F.lit(bits))
     rows = groups.select(F.shiftright(word, 5).alias("w"), F.expr(f"cast(1 as bigint) << cast(pmod(node, {bits}) & 31 as int)").alias("b"))
-    got = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], names=["w", "b"])
+
     out = np.zeros(bits >> 5, np.uint32)
-    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).astype(np.uint32)
+    for r in rows.groupBy("w").agg(F.bit_or("b").alias("b")).mapInArrow(pack, "w binary, b binary").collect():
+        out[np.frombuffer(bytes(r.w), np.int64)] = np.frombuffer(bytes(r.b), np.int64).astype(np.uint32)
     return out
 
 
