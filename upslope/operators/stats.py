@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from upslope.functions.exprs import safe_corr
+from upslope.scratch import materialize
 
 
 def round_robin_folds(df: DataFrame, entity: str, folds: int = 5) -> DataFrame:
@@ -33,7 +34,9 @@ def crossfit_mean(df: DataFrame, fold: str, value: str, levels: list[list[str]],
     ``levels`` go from coarse to fine, each with its weight in ``shrink``; the parent of
     the first is the overall mean.  Means and counts leave a fold out by
     subtraction: totals minus the fold's own, so each level is aggregated once.
+    The input is written once and read by every level.
     """
+    df = materialize(df, "crossfit")
     total = df.groupBy(fold).agg(F.sum(value).alias("fs"), F.count(value).alias("fn"))
     everything = W.partitionBy(F.lit(1))
     total = total.withColumn("s", F.sum("fs").over(everything) - F.col("fs")).withColumn("n", F.sum("fn").over(everything) - F.col("fn"))

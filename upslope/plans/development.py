@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from upslope.functions import exprs
 from upslope.operators import levels, rankings, stats, windows
 from upslope.plans._base import LEVELS, MEETS, PERF, PERIODS, TRAJ, levelled, meet_levels, performances, periods, rounded, trajectories, with_
+from upslope.scratch import materialize
 
 TKEYS = ["person", "school", "gender", "event"]
 Q, O = {}, {}
@@ -133,7 +134,7 @@ def _(spark, sf):
 
 
 def _expected(spark, sf):
-    t = trajectories(spark, sf).withColumn("band", exprs.band(F.round("baseline", 9)))
+    t = materialize(trajectories(spark, sf).withColumn("band", exprs.band(F.round("baseline", 9))), "trajectories")
     t = t.join(stats.round_robin_folds(t, "school").select("school", "fold"), "school")
     return stats.crossfit_mean(t, "fold", "improvement", [["band"], ["band", "elapsed"], ["band", "elapsed", "event"]], [250.0, 100.0, 50.0])
 
