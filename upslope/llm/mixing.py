@@ -114,13 +114,17 @@ def mix_sources(
     return queue.select(F.col("id").alias(id_col), "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.when(F.col("size") > 0, F.col("size") * taken).otherwise(0).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", broadcast_rows: int = 500_000, **options) -> DataFrame:
     """The rows of ``docs`` that the mix serves, each as often as it is served.
 
     Columns pass through unchanged.  Rows that share an id count as one document
-    and are served as often as the one served most.
+    and are served as often as the one served most.  The servings are broadcast only
+    while there are at most ``broadcast_rows``.
     """
     mixed = mix_sources(docs, id_col, text_col, source_col, **options).where("taken > 0")
     times = mixed.groupBy(F.col(id_col).alias("__mix_id")).agg(F.max(F.expr("taken div size")).cast("int").alias("__mix_n"))
+    times = materialize(times, "mix-servings")
+    if times.count() <= broadcast_rows:
+        times = F.broadcast(times)
     joined = docs.join(times, docs[id_col].eqNullSafe(F.col("__mix_id")))
     return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_n"))).alias("__mix_copy")).drop("__mix_copy")

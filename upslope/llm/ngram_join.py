@@ -389,10 +389,11 @@ def _candidate_bits(groups: DataFrame, bits: int = 1 << 24) -> np.ndarray:
     return out
 
 
-def similar_sets(nodes: DataFrame, percent: int, block_shingles: int = 1_000_000) -> DataFrame:
+def similar_sets(nodes: DataFrame, percent: int, block_shingles: int = 1_000_000, written: list[DataFrame] | None = None) -> DataFrame:
     """(node, component, links): class and number of links to rows with other sets, of nodes with links.
 
-    ``nodes`` is a written table (id, n, node, items).
+    ``nodes`` is a written table (id, n, node, items).  Large tables that the result
+    does not read are added to ``written``.
     """
     spark = nodes.sparkSession
     edges = _candidate_edges(nodes, _frequent(nodes), percent)
@@ -417,6 +418,8 @@ def similar_sets(nodes: DataFrame, percent: int, block_shingles: int = 1_000_000
     whole = whole.groupBy("g", "node").agg(F.first("n").alias("n"), F.first("items").alias("items"))
     whole = whole.join(nodes.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")), "node")
     whole = materialize(whole, "ngram-groups")
+    if written is not None:
+        written.append(whole)
     by_size = W.partitionBy("g").orderBy("n", "node").rowsBetween(W.unboundedPreceding, 0)
     plan = whole.select("g", "node", "n")
     large = plan.groupBy("g").agg(F.sum("n").alias("total")).where(F.col("total") > block_shingles).select("g")
@@ -444,7 +447,7 @@ def similar_sets(nodes: DataFrame, percent: int, block_shingles: int = 1_000_000
     return total.join(roots, "node").select("node", "component", "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, written: list[DataFrame] | None = None) -> DataFrame:
     """Class of every row under the links of an exact n-gram Jaccard join.
 
     Returns ``id_col``, ``n_shingles`` (size of the row's set), ``component_id``
@@ -455,10 +458,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the whole sequence; null and blank texts have none, link with nothing and
     are their own class.  Repeated rows are copies of each other.  A null id
     takes part but names no class unless all ids of the class are null.
-    An empty table gives no rows.
+    An empty table gives no rows.  Intermediate tables that the result reads, or
+    that only it could read, are added to ``written`` for the caller to drop.
     """
     nodes = materialize(_node_table(docs, id_col, text_col, width), "ngram-sets")
-    linked = similar_sets(nodes, percent)
+    linked = similar_sets(nodes, percent, written=written)
+    if written is not None:
+        written.append(nodes)
     own = nodes.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     own = materialize(own.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), "ngram-nodes")
     classes = own.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -478,8 +484,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that share an id count as one document and stay or go together.  The ids
     that go are broadcast only while there are at most ``broadcast_rows``.
     """
-    found = near_duplicates(docs, id_col, text_col, width, percent)
+    written: list[DataFrame] = []
+    found = near_duplicates(docs, id_col, text_col, width, percent, written)
     gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "ngram-gone")
+    drop_tables(*written)
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
