@@ -16,6 +16,7 @@ bytes each, and the file's length last), so that a reader can fetch any record.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -35,7 +36,7 @@ _MASK_DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<qI")
 _FOOT = struct.Struct("<I")
-_NEAR_SPACE = [x for c in b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f" for x in (b" " + bytes([c]), bytes([c]) + b" ")]
+_NEAR_SPACE = re.compile(r" \s|\s ")
 
 
 def masked_crc(data: bytes) -> int:
@@ -84,7 +85,7 @@ class Encoder:
     of bounded size.
     """
 
-    def __init__(self, path: str, pieces: int = 150_000, joined: int = 50):
+    def __init__(self, path: str, pieces: int = 150_000, joined: int = 25):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -118,10 +119,7 @@ class Encoder:
     def _plain(self, text: bytes) -> bool:
         if any(s in text for s in self.special):
             return False
-        if text.isascii():
-            return not any(x in text for x in _NEAR_SPACE)
-        shown = text.decode("utf-8", "replace")
-        return "  " not in shown and not any(a.isspace() for x in shown.split(" ") if x for a in (x[0], x[-1]))
+        return _NEAR_SPACE.search(text.decode("utf-8", "replace")) is None
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as packed little-endian integers."""
