@@ -16,6 +16,15 @@ HIDDEN = 16
 WINDOW = 16
 
 
+def _softmax(logits: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of the targets, exponentials (in place) and their sums; logits stop at 60, so nothing overflows."""
+    logits += bias
+    np.minimum(logits, 60, out=logits)
+    picked = logits[rows, target]
+    e = np.exp(logits, out=logits)
+    return picked, e, e @ np.ones(e.shape[1], e.dtype)
+
+
 class Gru:
     """Parameters as one flat float32 vector with named views."""
 
@@ -68,15 +77,13 @@ class Gru:
         p, n = self.p, len(target)
         single = target < self.heads
         cls = np.where(single, target // GROUP, target - self.heads + self.groups)
-        logits = h @ p["wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
         rows = np.arange(n)
-        out = logits[rows, cls] - np.log(total)
+        picked, e, total = _softmax(h @ p["wc"], p["bc"], rows, cls)
+        out = picked - np.log(total)
         dh = None
         if grads is not None:
-            d = e / (total[:, None] * n)
+            d = e
+            d *= (1 / (total * n))[:, None]
             d[rows, cls] -= 1 / n
             grads["wc"] += h.T @ d
             grads["bc"] += d.sum(0)
@@ -89,14 +96,12 @@ class Gru:
             if not len(at):
                 continue
             hs, slot = h[at], target[at] % GROUP
-            inner = hs @ p["wh"][g] + p["bh"][g]
-            inner -= inner.max(1, keepdims=True)
-            ei = np.exp(inner)
-            ti = ei.sum(1)
-            own = np.arange(len(at))
-            out[at] += inner[own, slot] - np.log(ti)
+            own = rows[: len(at)]
+            picked, ei, ti = _softmax(hs @ p["wh"][g], p["bh"][g], own, slot)
+            out[at] += picked - np.log(ti)
             if grads is not None:
-                d = ei / (ti[:, None] * n)
+                d = ei
+                d *= (1 / (ti * n))[:, None]
                 d[own, slot] -= 1 / n
                 grads["wh"][g] += hs.T @ d
                 grads["bh"][g] += d.sum(0)
