@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from upslope.operators import checks, graph, identity, levels, points, stats, windows
+from upslope.plans import identity as identity_plans
 from upslope.scratch import drop_path, materialize, new_path, shared_dir
 from upslope.sources import catalog, csvfiles, pages
 from upslope.streaming import ingest
@@ -79,6 +80,24 @@ def test_identity_ignores_uninformative_signatures(spark):
     assert [(r.left, r.right, r.shared, r.confidence) for r in got] == [(1, 2, 2, "high")]
 
 
+def test_identity_pairs_of_a_common_signature_are_all_found(spark):
+    rows = [(p, "n", "g", "everyone") for p in range(30)] + [(p, "m", "g", "few") for p in (1, 2, 40)]
+    df = spark.createDataFrame(rows, "p int, nm string, g string, s string")
+    want = {(a, b): 1 for b in range(30) for a in range(b)} | {(1, 2): 2, (1, 40): 1, (2, 40): 1}
+    for block in (4, 256):
+        got = identity.duplicate_pairs(df, "p", "nm", "g", F.col("s"), max_profiles=None, block=block).collect()
+        assert len(got) == len(want) and {(r.left, r.right): r.shared for r in got} == want
+
+
+def test_registered_pairs_have_no_bound_on_holders(spark, tmp_path):
+    spark.createDataFrame([(c, c % 3, "B") for c in range(30)], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    orders = spark.createDataFrame([(c, "1-URGENT", "O") for c in range(30)], "o_custkey long, o_orderpriority string, o_orderstatus string")
+    orders.withColumn("o_orderdate", F.lit("1997-01-01").cast("timestamp")).write.parquet(str(tmp_path / "orders.parquet"))
+    assert identity_plans.Q["id_duplicate_pairs"](spark, str(tmp_path)).count() == 30 * 29 // 2
+    got = {r.profile: r.canonical for r in identity_plans.Q["id_canonical_profiles"](spark, str(tmp_path)).collect()}
+    assert got == {c: c % 3 for c in range(30)}
+
+
 def test_publication_keeps_the_old_table_when_a_check_fails(spark):
     c = catalog.Catalog(spark, new_path(spark, "pub"))
     good, bad = spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(None,)], "a int")

@@ -9,17 +9,24 @@ from pyspark.sql import functions as F
 from upslope.operators.graph import connected_components
 
 
-def duplicate_pairs(rows: DataFrame, profile: str, name: str, group: str, signature: Column, min_shared: int = 2, min_share: float = 0.25, max_profiles: int = 20) -> DataFrame:
+def duplicate_pairs(rows: DataFrame, profile: str, name: str, group: str, signature: Column, min_shared: int = 2, min_share: float = 0.25, max_profiles: int | None = 20, block: int = 256) -> DataFrame:
     """Pairs of profiles of one name that share signatures, with a confidence.
 
-    A signature that more than ``max_profiles`` profiles of a name hold says nothing about identity and is left out.
+    A signature that more than ``max_profiles`` profiles of a name hold says nothing about identity and is left out;
+    with None every shared signature counts.  Holders of one signature are cut into blocks of about ``block``
+    profiles and joined block by block, so a common signature is dealt over many tasks.
     """
     sig = rows.select(F.col(profile).alias("p"), F.col(name).alias("nm"), F.col(group).alias("g"), signature.alias("s")).where("s is not null").distinct()
     sizes = sig.groupBy("p").agg(F.count_distinct("s").alias("size"), F.min("g").alias("g"))
-    rare = sig.groupBy("nm", "s").agg(F.count_distinct("p").alias("c")).where(F.col("c").between(2, max_profiles)).select("nm", "s")
-    held = sig.join(rare, ["nm", "s"]).select("nm", "s", "p").distinct()
-    a, b = held.alias("a"), held.alias("b")
-    pairs = a.join(b, (F.col("a.nm") == F.col("b.nm")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.p") < F.col("b.p")))
+    common = F.col("c") >= 2 if max_profiles is None else F.col("c").between(2, max_profiles)
+    shared = sig.groupBy("nm", "s").agg(F.count_distinct("p").alias("c")).where(common).select("nm", "s", F.ceil(F.col("c") / block).alias("blocks"))
+    held = sig.join(shared, ["nm", "s"]).select("nm", "s", "p", "blocks", F.pmod(F.xxhash64("p"), "blocks").alias("own")).distinct()
+    met = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("nm", "s", "p", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    a, b = met.alias("a"), met.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("nm", "s", "lo", "hi")]
+    once = (F.col("a.lo") == F.col("a.hi")) | (F.col("a.own") != F.col("b.own"))
+    pairs = a.join(b, same[0] & same[1] & same[2] & same[3] & (F.col("a.p") < F.col("b.p")) & once)
     pairs = pairs.groupBy(F.col("a.p").alias("left"), F.col("b.p").alias("right")).agg(F.count_distinct("a.s").alias("shared"))
     l, r = sizes.select(F.col("p").alias("left"), F.col("size").alias("ls"), F.col("g").alias("lg")), sizes.select(F.col("p").alias("right"), F.col("size").alias("rs"), F.col("g").alias("rg"))
     out = pairs.join(l, "left").join(r, "right").withColumn("share", F.col("shared") / F.least("ls", "rs"))

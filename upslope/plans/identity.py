@@ -47,7 +47,7 @@ pairs AS (SELECT a.p AS l, b.p AS r, count(DISTINCT a.s) AS shared FROM held a J
 def duplicate_pairs(spark, sf):
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = o.select("o_custkey", F.concat("o_orderpriority", "c_mktsegment").alias("nm"), "c_nationkey", F.md5(F.concat_ws("|", F.to_date("o_orderdate").cast("string"), "o_orderstatus")).alias("s"))
-    return identity.duplicate_pairs(rows, "o_custkey", "nm", "c_nationkey", F.col("s"), 1, 0.1)
+    return identity.duplicate_pairs(rows, "o_custkey", "nm", "c_nationkey", F.col("s"), 1, 0.1, max_profiles=None)
 
 
 @add("id_duplicate_pairs", f'WITH {SIGS} SELECT l AS "left", r AS "right", shared, round(shared / least(x.size, y.size), 4) AS share, CASE WHEN x.g = y.g AND shared >= 1 AND shared / least(x.size, y.size) >= 0.1 THEN \'high\' ELSE \'low\' END AS confidence FROM pairs JOIN sizes x ON l = x.p JOIN sizes y ON r = y.p')
