@@ -1,5 +1,8 @@
 """Nulls, empty tables, repeated rows, clashing columns and planted cases for each operator."""
 
+from itertools import combinations
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +150,34 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontamination.find_overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_asks_less_of_short_items(spark):
+    item = [f"s{i}" for i in range(15)]
+    cases = [(1, 7), (1, 13), (2, 6, 11), (2, 5, 8, 11), (1, 4, 7, 10, 13)]
+    docs = [(k, " ".join(["a b c", *("zzz" if i in gone else w for i, w in enumerate(item)), "d e f"])) for k, gone in enumerate(cases)]
+    bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    found = decontamination.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {r.doc_id: r.matches for r in found.collect()} == {0: 12, 1: 11, 2: 12, 3: 11}, "ten of fifteen are too few"
+
+
+def test_decontamination_tries_every_stretch_of_a_diagonal():
+    same = np.array([1] * 12 + [0] * 13 + [1] * 7 + [0] * 2 + [1] * 6, bool)
+    assert decontamination.best_stretch(same, 2) == (12, 0, 12)
+    assert decontamination.dense_stretch(same, 2) == (13, 25, 40)
+    item = np.arange(1, 41, dtype=np.uint64)
+    text = np.where(same, item, np.uint64(0))
+    assert decontamination.Index([9], [item], decontamination.SEEDS).overlaps(text, 13, 2) == {0: (13, 25, 40)}
+
+
+def test_decontamination_seeds_meet_all_substitutions_in_short_items():
+    for n in range(6, 16):
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        index = decontamination.Index([9], [item], decontamination.SEEDS)
+        for gone in combinations(range(n), n - decontamination.needed(n, 13)):
+            text = item.copy()
+            text[list(gone)] = 0
+            assert (0, 0) in index.hits(text), (n, gone)
+
+
 def test_line_dedup(spark):
     page = "<html><head><title>t</title></head><body><nav>Home</nav><p>text {}</p><script>x</script><p>Home</p></body></html>"
     rows = [(i, "http://Site.org/a", page.format(i)) for i in range(8)] + [(50 + i, f"http://s{i}.org/", page.format(i)) for i in range(3)] + [(90, None, None)]

@@ -4,9 +4,9 @@ A seed is a fixed mask over a window of words: some positions count, the others
 are ignored, so a substitution at an ignored position leaves the hash unchanged.
 Hashes of benchmark windows meet those of document windows, and every hit is
 verified on its diagonal: the benchmark item is laid over the document at the
-hit's offset, words are compared place by place, and the best stretch (a
-match earns 1, a mismatch costs ``penalty``) must reach ``min_matches`` words or
-the item's whole length if that is shorter.
+hit's offset, words are compared place by place, and some stretch with a score
+above 0 (a match earns 1, a mismatch costs ``penalty``) must have ``min_matches``
+matches, or 7 in 10 of the item's words if that is less.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ from upslope.scratch import materialize
 
 #: Masks of weight 6 over windows of 6 to 10 words; a substitution leaves the seeds intact that ignore its place.
 SEEDS = ("111111", "1110111", "11010111", "1011001101")
+#: Further masks of weight 4, each for items of at most so many words: with ``SEEDS`` they meet every way to
+#: substitute up to 3 in 10 words of an item of 6 to 18.
+SHORT_SEEDS = (("1111", 18), ("11011", 18), ("1100101", 11), ("1010011", 11), ("10111", 7), ("101011", 7))
 _EDGE = "\"'`.,;:!?()[]{}<>*_"
 
 
@@ -54,14 +57,35 @@ def best_stretch(same: np.ndarray, penalty: int) -> tuple[int, int, int]:
     return int(same[start:end].sum()), start, end
 
 
+def dense_stretch(same: np.ndarray, penalty: int) -> tuple[int, int, int]:
+    """(matches, start, end) of the stretch with the most matches among those with a score above 0."""
+    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -penalty))])
+    total = np.concatenate([[0], np.cumsum(same)])
+    # The running minimum falls, so the first place below an end's score is the farthest start.
+    first = np.searchsorted(-np.minimum.accumulate(score), -score, "right")
+    first = np.minimum(first, np.arange(len(score)))
+    end = int(np.argmax(total - total[first]))
+    at = np.flatnonzero(same[first[end] : end])
+    return (len(at), int(first[end] + at[0]), int(first[end] + at[-1]) + 1) if len(at) else (0, 0, 0)
+
+
+def needed(n_words: int, min_matches: int) -> int:
+    """Matches asked of an item: 7 in 10 of its words, rounded up, and ``min_matches`` at most."""
+    return min(min_matches, -(-7 * n_words // 10))
+
+
 class Index:
     """Seed hashes of benchmark items, sorted, with a bit table in front."""
 
     def __init__(self, ids: list, words: list[np.ndarray], seeds: tuple[str, ...]):
-        self.ids, self.words, self.seeds = ids, words, seeds
-        self.tables = []
-        for mask in seeds:
-            hs = [seed_hashes(h, mask) for h in words]
+        self.ids, self.words = ids, words
+        shortest = min(map(len, seeds))
+        self.seeds, self.tables = [], []
+        for mask, most in [*((m, None) for m in seeds), *SHORT_SEEDS]:
+            hs = [seed_hashes(h if most is None or shortest <= len(h) <= most else h[:0], mask) for h in words]
+            if most is not None and not any(map(len, hs)):
+                continue
+            self.seeds.append(mask)
             at = np.concatenate([np.arange(len(x)) for x in hs] or [np.empty(0, int)])
             item = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
             flat = np.concatenate(hs or [np.empty(0, np.uint64)])
@@ -90,8 +114,13 @@ class Index:
         for i, offset in self.hits(h):
             own = self.words[i]
             lo, hi = max(0, offset), min(len(h), offset + len(own))
-            matches, start, end = best_stretch(h[lo:hi] == own[lo - offset : hi - offset], penalty)
-            if matches >= min(min_matches, len(own)):
+            same, enough = h[lo:hi] == own[lo - offset : hi - offset], needed(len(own), min_matches)
+            if int(same.sum()) < enough:
+                continue
+            matches, start, end = best_stretch(same, penalty)
+            if matches < enough:
+                matches, start, end = dense_stretch(same, penalty)
+            if matches >= enough:
                 out[i] = max(out.get(i, (0, 0, 0)), (matches, lo + start, lo + end), key=lambda x: (x[0], -x[1]))
         return out
 
@@ -112,7 +141,8 @@ def find_overlaps(
 
     Returns ``id_col``, ``item_col``, ``matches`` (equal words in the stretch),
     ``start_word`` and ``end_word`` (normalised words of the document, end
-    exclusive).  Items come to the executors in blocks of about ``block_bytes`` of text,
+    exclusive).  The stretch is the one with the highest score if it has enough
+    matches, else the one with the most.  Items come to the executors in blocks of about ``block_bytes`` of text,
     each block against all documents, so what is broadcast does not grow with
     the benchmark.
 
