@@ -92,6 +92,13 @@ def test_secrets_link_only_within_a_scope(spark):
     assert redacted == '[SECRET]" and [SECRET]'
 
 
+def test_secrets_inside_an_endpoint_are_linked(spark):
+    url = "https://api.host/v1?api_key=abc12345"
+    rows = [(1, url), (2, "see https://api.host/v1 only"), (3, 'x https://h.org/?api_key="abc12345" y')]
+    got = {r.doc_id: r.spans for r in secrets.secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "endpoint:0:36,weak_assign:20:36", 2: "", 3: "endpoint:2:25,weak_assign:17:34"}
+
+
 def test_quality_filter_passes_columns_through(odd):
     kept = quality.quality_filter(odd)
     assert kept.columns == odd.columns

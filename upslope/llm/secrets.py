@@ -3,7 +3,7 @@
 Strong patterns are reported wherever they match.  Weak candidates (short access
 identifiers, account names, short secrets, endpoints) are reported only when a
 complementary part lies in the same scope: within ``reach`` code points and in
-the same block of text (no blank line between).  Everything runs on native
+the same block of text (no blank line between), or a secret and an endpoint overlap.  Everything runs on native
 expressions: matches come from ``regexp_extract_all``, their places from the
 lengths of what ``split`` leaves between them.
 """
@@ -84,8 +84,9 @@ def _linked(text: Column, parts: Column, reach: int) -> Column:
         left, right = F.least(p["end"], q["end"]), F.greatest(p["start"], q["start"])
         apart = right - left
         overlap = (p["start"] < q["end"]) & (q["start"] < p["end"])
+        allowed = ~overlap | (p["role"] == "endpoint") | (q["role"] == "endpoint")
         one_block = ~F.substring(text, left + 1, F.greatest(apart, F.lit(0))).contains("\n\n")
-        return out & ~overlap & (apart <= reach) & one_block
+        return out & allowed & (apart <= reach) & one_block
 
     def keep(p: Column, i: Column) -> Column:
         around = F.slice(parts, F.greatest(i + 1 - near, F.lit(1)), F.lit(2 * near + 1))
@@ -103,8 +104,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", reach: int = 200, out_
 
     Each span has ``start`` and ``end`` (code points, end exclusive), ``kind``,
     ``role`` and ``strong``, sorted by start and then by kind as listed in
-    ``PATTERNS``.  A weak candidate that overlaps no complementary part but has
-    one in its scope is included, others are not.  A null or empty text has no
+    ``PATTERNS``.  A weak candidate is included if a complementary part is in
+    its scope: beside it, or, of a secret and an endpoint, overlapping it.  A null or empty text has no
     spans; rows are independent, so repeated rows get equal spans; an existing
     column named ``out_col`` is replaced.
     """
