@@ -1,5 +1,7 @@
 """Nulls, empty tables, repeated rows, clashing columns and planted cases for each operator."""
 
+import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -92,6 +94,23 @@ def test_secrets_link_only_within_a_scope(spark):
     assert redacted == '[SECRET]" and [SECRET]'
 
 
+def brute_spans(text, reach=200):
+    """Every pair of parts is tried."""
+    parts = []
+    for k, p in enumerate(secrets.PATTERNS):
+        for m in re.finditer(p.regex, text, re.ASCII):
+            if p.min_value <= len(m.group(p.value_group)) <= p.max_value:
+                parts.append((m.start(), m.end(), k, p))
+
+    def linked(p, q):
+        overlap = p[0] < q[1] and q[0] < p[1]
+        between = text[min(p[1], q[1]) : max(p[0], q[0])]
+        beside = not overlap and len(between) <= reach and "\n\n" not in between
+        return q[3].role in secrets.COMPLEMENTS[p[3].role] and (beside or overlap and "endpoint" in (p[3].role, q[3].role))
+
+    return ",".join(f"{p[3].kind}:{p[0]}:{p[1]}" for p in sorted(parts, key=lambda x: x[:3]) if p[3].strong or any(linked(p, q) for q in parts))
+
+
 def test_secrets_inside_an_endpoint_are_linked(spark):
     url = "https://api.host/v1?api_key=abc12345"
     rows = [(1, url), (2, "see https://api.host/v1 only"), (3, 'x https://h.org/?api_key="abc12345" y')]
@@ -99,6 +118,18 @@ def test_secrets_inside_an_endpoint_are_linked(spark):
     assert got == {1: "endpoint:0:36,weak_assign:20:36", 2: "", 3: "endpoint:2:25,weak_assign:17:34"}
 
 
+def test_secrets_find_partners_behind_many_inner_parts(spark):
+    url = "https://h.org/?" + "&".join(["user=bob"] * 700)
+    rng = random.Random(5)
+    pieces = [" ", "\n\n", "x" * 90, "https://h.org/?a=b&", "user=bob", "&token=abcdef", " password=hunter22", "AKIA12345", " secret=AKIA12345", "0123456789abcdef", '"']
+    texts = [url + " x" * 20 + " password=hunter22", *("".join(rng.choices(pieces, k=rng.randrange(2, 25))) for _ in range(150))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.secret_report(df).collect()}
+    assert got[0].startswith("endpoint:0:")
+    for k, text in enumerate(texts):
+        assert got[k] == brute_spans(text), text
+
+
 def test_quality_filter_passes_columns_through(odd):
     kept = quality.quality_filter(odd)
     assert kept.columns == odd.columns

@@ -69,30 +69,48 @@ def _places(text: Column, pattern: Pattern, order: int) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda acc: acc["parts"])).otherwise(F.from_json(F.lit("[]"), _PART))
 
 
+def _up_to(places: Column, x: Column) -> Column:
+    """How many of the sorted ``places`` are at most ``x``, by bisection."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(places) + 1)).cast("int") + 1)
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        right = (acc["lo"] < acc["hi"]) & (F.get(places, middle) <= x)
+        return F.struct(F.when(right, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(middle).alias("hi"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(places).alias("hi")), halve, lambda acc: acc["lo"])
+
+
 def _linked(text: Column, parts: Column, reach: int) -> Column:
     """Strong parts, and the weak ones with a complementary part in their scope.
 
-    ``parts`` is sorted by start and the spans of one kind don't overlap, so all
-    partners within ``reach`` lie within a fixed number of neighbours.
+    What lies between a part and its nearest partner on a side lies between the part
+    and all farther ones too, so only the nearest on each side are tried.  A secret
+    that overlaps an endpoint is in its scope; other parts that overlap are two
+    readings of one place and don't complement each other.
     """
-    near = len(PATTERNS) * (reach // 6 + 2)
 
-    def complementary(p: Column, q: Column) -> Column:
-        out = F.lit(False)
+    def places(role: str, at: str) -> Column:
+        return F.array_sort(F.transform(F.filter(parts, lambda q: q["role"] == role), lambda q: q[at]))
+
+    def beside(p: Column, starts: Column, ends: Column, overlaps: bool) -> Column:
+        before, until = _up_to(ends, p["start"]), _up_to(starts, p["end"] - 1)
+        left, right = F.get(ends, before - 1), F.get(starts, until)
+        near = F.lit(False)
+        for a, b in ((left, p["start"]), (p["end"], right)):
+            near = near | F.coalesce((b - a <= reach) & ~F.substring(text, a + 1, b - a).contains("\n\n"), F.lit(False))
+        return near | (until > before) if overlaps else near
+
+    def keep(p: Column, at: Column) -> Column:
+        out = p["strong"]
         for role, partners in COMPLEMENTS.items():
-            out = out | ((p["role"] == role) & q["role"].isin(*partners))
-        left, right = F.least(p["end"], q["end"]), F.greatest(p["start"], q["start"])
-        apart = right - left
-        overlap = (p["start"] < q["end"]) & (q["start"] < p["end"])
-        allowed = ~overlap | (p["role"] == "endpoint") | (q["role"] == "endpoint")
-        one_block = ~F.substring(text, left + 1, F.greatest(apart, F.lit(0))).contains("\n\n")
-        return out & allowed & (apart <= reach) & one_block
-
-    def keep(p: Column, i: Column) -> Column:
-        around = F.slice(parts, F.greatest(i + 1 - near, F.lit(1)), F.lit(2 * near + 1))
-        return p["strong"] | F.exists(around, lambda q: complementary(p, q))
-
-    return F.filter(parts, keep)
+            for q in partners:
+                out = out | ((p["role"] == role) & beside(p, at[f"{q}_start"], at[f"{q}_end"], "endpoint" in (role, q)))
+        return out
+
+    bound = F.struct(parts.alias("parts"), *(places(r, x).alias(f"{r}_{x}") for r in COMPLEMENTS for x in ("start", "end")))
+    # The lambda's variable holds the sorted places, so they are made once for a text.
+    return F.transform(F.array(bound), lambda at: F.filter(at["parts"], lambda p: keep(p, at)))[0]
 
 
 def _digest(parts: Column) -> Column:
