@@ -188,6 +188,16 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontamination.find_overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_decides_by_row(spark):
+    item = " ".join(f"b{i}" for i in range(40))
+    rows = [(None, item), (None, "clean text"), (1, item), (1, "clean too"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    for broadcast_rows in (0, 100):
+        kept = decontamination.drop_contaminated(docs, bench, broadcast_rows=broadcast_rows).collect()
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "clean text"), (1, "clean too"), (2, "")]
+
+
 def test_decontamination_asks_less_of_short_items(spark):
     item = [f"s{i}" for i in range(15)]
     cases = [(1, 7), (1, 13), (2, 6, 11), (2, 5, 8, 11), (1, 4, 7, 10, 13)]

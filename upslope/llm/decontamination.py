@@ -180,14 +180,17 @@ def find_overlaps(
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matches", "start_word", "end_word")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 500_000, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
     """``docs`` without the documents that overlap a benchmark item; all columns pass through.
 
-    Rows that share an id count as one document.  The ids that go are broadcast
-    only while there are at most ``broadcast_rows``.
+    Each row is judged by its own text, so null and repeated ids don't matter.  The
+    fingerprints of texts that go are broadcast only while there are at most ``broadcast_rows``.
     """
-    gone = find_overlaps(docs, benchmark, id_col, **options).select(F.col(id_col).alias("__gone"))
+    text = options.pop("text_col", "text")
+    key = F.sha2(utf8(docs[text]), 256)
+    keyed = docs.select(key.alias("__key"), docs[text].alias("__text"))
+    gone = find_overlaps(keyed, benchmark, "__key", "__text", **options).select(F.col("__key").alias("__gone"))
     gone = materialize(gone.distinct(), "decon-gone")
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone, key == F.col("__gone"), "left_anti")
