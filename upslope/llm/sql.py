@@ -71,10 +71,11 @@ _TARGETS = (
 _LINKS = " UNION ALL ".join(f"SELECT url AS u, nullif(regexp_extract(coalesce(html, ''), '{p}', 1), '') AS t FROM pages" for p in _TARGETS)
 _KEY = "CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END"
 _SITE = "regexp_extract(u, '(?s)^.*?://[^/?#]*', 0)"
+_FOLDER = "coalesce(nullif(regexp_extract(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(?s)^(.*/)[^/]*$', 1), ''), '/')"
 
 _URLS = f"""
 WITH RECURSIVE raw AS ({_LINKS}),
-full_links AS (SELECT u, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN {_SITE} || t ELSE {_SITE} || '/' || t END AS v FROM raw WHERE t IS NOT NULL),
+full_links AS (SELECT u, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN {_SITE} || t ELSE {_SITE} || {_FOLDER} || t END AS v FROM raw WHERE t IS NOT NULL),
 ends AS (SELECT DISTINCT u AS url, {_parts("u")} FROM full_links UNION SELECT DISTINCT v, {_parts("v")} FROM full_links),
 nodes AS (SELECT url, {_KEY} AS k, {_RULE} AS rule FROM ends),
 e AS (SELECT a.k AS a, b.k AS b FROM full_links JOIN nodes a ON u = a.url JOIN nodes b ON v = b.url WHERE a.k IS NOT NULL AND b.k IS NOT NULL),

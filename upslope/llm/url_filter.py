@@ -99,11 +99,12 @@ def judge_urls(
     ``extra_links`` adds recorded redirects as (src_url, dst_url).  A page with a
     fitting rule follows it.  Any other page is blocked if its class holds an
     address that a rule blocks and none that a rule allows; else it is allowed.
-    Linked addresses count even if no page has them.
+    Linked addresses count even if no page has them, and so does every spelling of an
+    address (with and without the slash after the host) among the links.
 
     A null url, or one without ``://``, has empty host and path, belongs to no
-    class and is allowed; null html has no links; repeated urls share a class;
-    an empty table gives no rows.
+    class and is allowed; null html has no links; repeated urls share a class; a page that links to
+    itself is alone in its class; other columns are left out; an empty table gives no rows.
     """
     url = F.col(url_col)
     judged = pages.select(F.col(id_col), url_host(url).alias("host"), url_path(url).alias("path"), url_key(url).alias("__key"))
@@ -116,8 +117,9 @@ def judge_urls(
     own, fallback = F.col("__own"), F.lit("allow")
     if links.limit(1).count():
         classes = connected_components(links)
-        ends = links.select(F.col("src").alias("node"), F.col("src_url").alias("u")).union(links.select("dst", "dst_url")).dropDuplicates(["node"])
+        ends = links.select(F.col("src").alias("node"), F.col("src_url").alias("u")).union(links.select("dst", "dst_url"))
         decided = ends.select("node", rule_of(url_host(F.col("u")), url_path(F.col("u")), rules)["verdict"].alias("v"))
+        decided = decided.where("v is not null").distinct()  # a node may have several spellings, of which a rule may fit some only
         by_class = (
             classes.join(decided, "node").groupBy("component")
             .agg(F.bool_or(F.col("v") == "block").alias("blocked"), F.bool_or(F.col("v") == "allow").alias("allowed"))
