@@ -46,7 +46,28 @@ PATTERNS = (
 #: What a weak part of each role needs beside it.
 COMPLEMENTS = {"ident": ("secret",), "secret": ("ident", "endpoint"), "endpoint": ("secret",)}
 BASE_KINDS = ("assign", "access", "hex")
-_PART = "array<struct<start:int,end:int,ord:int,kind:string,role:string,strong:boolean>>"
+_STRUCT = "struct<start:int,end:int,ord:int,kind:string,role:string,strong:boolean>"
+_PART = f"array<{_STRUCT}>"
+_CHUNK = 256
+
+
+def _running(steps: Column, step, kind: str) -> Column:
+    """What ``step`` gives for each element in turn, null left out: an array that grows chunk by chunk.
+
+    ``step`` takes the place so far and the element and returns the next place and a value.  Appending to one array
+    would copy it each time; here a step copies at most ``_CHUNK`` values.
+    """
+    none, nothing = F.from_json(F.lit("[]"), f"array<{kind}>"), F.from_json(F.lit("[]"), f"array<array<{kind}>>")
+
+    def one(acc: Column, x: Column) -> Column:
+        at, value = step(acc["at"], x)
+        full = F.size(acc["now"]) >= _CHUNK
+        now = F.when(full, none).otherwise(acc["now"])
+        done = F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
+        return F.struct(at.alias("at"), done.alias("done"), F.when(value.isNotNull(), F.concat(now, F.array(value))).otherwise(now).alias("now"))
+
+    start = F.struct(F.lit(0).alias("at"), nothing.alias("done"), none.alias("now"))
+    return F.aggregate(steps, start, one, lambda acc: F.concat(F.flatten(acc["done"]), acc["now"]))
 
 
 def _places(text: Column, pattern: Pattern, order: int) -> Column:
@@ -58,15 +79,21 @@ def _places(text: Column, pattern: Pattern, order: int) -> Column:
     values = F.transform(F.regexp_extract_all(text, regex, F.lit(pattern.value_group)), F.length) if pattern.value_group else lengths
     steps = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), lengths.alias("m"), values.alias("v"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["g"]
         end = start + x["m"]
         part = F.struct(start.alias("start"), end.alias("end"), F.lit(order).alias("ord"), F.lit(pattern.kind).alias("kind"), F.lit(pattern.role).alias("role"), F.lit(pattern.strong).alias("strong"))
-        fits = x["v"].between(pattern.min_value, pattern.max_value)
-        return F.struct(end.alias("at"), F.when(fits, F.concat(acc["parts"], F.array(part))).otherwise(acc["parts"]).alias("parts"))
+        return end, F.when(x["v"].between(pattern.min_value, pattern.max_value), part)
+
+    return F.when(F.size(found) > 0, _running(steps, step, _STRUCT)).otherwise(F.from_json(F.lit("[]"), _PART))
+
 
-    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), _PART).alias("parts"))
-    return F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda acc: acc["parts"])).otherwise(F.from_json(F.lit("[]"), _PART))
+def _blank_lines(text: Column) -> Column:
+    """Where runs of two or more newlines begin, in order."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit(r"\n{2,}"), F.lit(0)), F.length)
+    gaps = F.transform(F.split(text, r"\n{2,}", -1), F.length)
+    steps = F.arrays_zip(F.slice(gaps, 1, F.size(runs)).alias("g"), runs.alias("m"))
+    return _running(steps, lambda at, x: (at + x["g"] + x["m"], at + x["g"]), "int")
 
 
 def _up_to(places: Column, x: Column) -> Column:
@@ -93,22 +120,23 @@ def _linked(text: Column, parts: Column, reach: int) -> Column:
     def places(role: str, at: str) -> Column:
         return F.array_sort(F.transform(F.filter(parts, lambda q: q["role"] == role), lambda q: q[at]))
 
-    def beside(p: Column, starts: Column, ends: Column, overlaps: bool) -> Column:
+    def beside(p: Column, starts: Column, ends: Column, blanks: Column, overlaps: bool) -> Column:
         before, until = _up_to(ends, p["start"]), _up_to(starts, p["end"] - 1)
         left, right = F.get(ends, before - 1), F.get(starts, until)
         near = F.lit(False)
         for a, b in ((left, p["start"]), (p["end"], right)):
-            near = near | F.coalesce((b - a <= reach) & ~F.substring(text, a + 1, b - a).contains("\n\n"), F.lit(False))
+            # no part holds a newline, so a run of them that begins between two parts lies between them
+            near = near | F.coalesce((b - a <= reach) & (_up_to(blanks, b - 1) == _up_to(blanks, a - 1)), F.lit(False))
         return near | (until > before) if overlaps else near
 
     def keep(p: Column, at: Column) -> Column:
         out = p["strong"]
         for role, partners in COMPLEMENTS.items():
             for q in partners:
-                out = out | ((p["role"] == role) & beside(p, at[f"{q}_start"], at[f"{q}_end"], "endpoint" in (role, q)))
+                out = out | ((p["role"] == role) & beside(p, at[f"{q}_start"], at[f"{q}_end"], at["blanks"], "endpoint" in (role, q)))
         return out
 
-    bound = F.struct(parts.alias("parts"), *(places(r, x).alias(f"{r}_{x}") for r in COMPLEMENTS for x in ("start", "end")))
+    bound = F.struct(parts.alias("parts"), _blank_lines(text).alias("blanks"), *(places(r, x).alias(f"{r}_{x}") for r in COMPLEMENTS for x in ("start", "end")))
     # The lambda's variable holds the sorted places, so they are made once for a text.
     return F.transform(F.array(bound), lambda at: F.filter(at["parts"], lambda p: keep(p, at)))[0]
 
