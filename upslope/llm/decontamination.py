@@ -12,6 +12,7 @@ matches, or 7 in 10 of the item's words if that is less.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upslope.llm._text import _MIX, finalize, utf8, word_hashes
+from upslope.llm._arrow import map_arrow
+from upslope.llm._text import _MIX, WORD, finalize, utf8, word_hashes
 from upslope.scratch import materialize
 
 #: Masks of weight 6 over windows of 6 to 10 words; a substitution leaves the seeds intact that ignore its place.
 SEEDS = ("111111", "1110111", "11010111", "1011001101")
-#: Further masks of weight 4, each for items of at most so many words: with ``SEEDS`` they meet every way to
+#: Further masks of weight 4, each for items of 6 words to so many: with ``SEEDS`` they meet every way to
 #: substitute up to 3 in 10 words of an item of 6 to 18.
 SHORT_SEEDS = (("1111", 18), ("11011", 18), ("1100101", 11), ("1010011", 11), ("10111", 7), ("101011", 7))
+#: Items with fewer words are looked up as a whole, every word equal.
+LEAST_WORDS = 6
 _EDGE = "\"'`.,;:!?()[]{}<>*_"
 
 
@@ -70,8 +74,8 @@ def dense_stretch(same: np.ndarray, penalty: int) -> tuple[int, int, int]:
 
 
 def needed(n_words: int, min_matches: int) -> int:
-    """Matches asked of an item: 7 in 10 of its words, rounded up, and ``min_matches`` at most."""
-    return min(min_matches, -(-7 * n_words // 10))
+    """Matches asked of an item: all of up to five words, else 7 in 10, rounded up; ``min_matches`` at most."""
+    return n_words if n_words < LEAST_WORDS else min(min_matches, -(-7 * n_words // 10))
 
 
 class Index:
@@ -79,11 +83,11 @@ class Index:
 
     def __init__(self, ids: list, words: list[np.ndarray], seeds: tuple[str, ...]):
         self.ids, self.words = ids, words
-        shortest = min(map(len, seeds))
         self.seeds, self.tables = [], []
-        for mask, most in [*((m, None) for m in seeds), *SHORT_SEEDS]:
-            hs = [seed_hashes(h if most is None or shortest <= len(h) <= most else h[:0], mask) for h in words]
-            if most is not None and not any(map(len, hs)):
+        lengths = [(m, LEAST_WORDS, None) for m in seeds] + [(m, LEAST_WORDS, most) for m, most in SHORT_SEEDS] + [("1" * n, n, n) for n in range(1, LEAST_WORDS)]
+        for mask, fewest, most in lengths:
+            hs = [seed_hashes(h if fewest <= len(h) <= (most or len(h)) else h[:0], mask) for h in words]
+            if not any(map(len, hs)):
                 continue
             self.seeds.append(mask)
             at = np.concatenate([np.arange(len(x)) for x in hs] or [np.empty(0, int)])
@@ -125,6 +129,17 @@ class Index:
         return out
 
 
+_INDEXES: dict[str, Index] = {}
+
+
+def _index(block) -> Index:
+    """The worker's index of a broadcast block; it keeps the last one between tasks."""
+    if block.value[0] not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[block.value[0]] = Index(*block.value[1:])
+    return _INDEXES[block.value[0]]
+
+
 def find_overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -142,13 +157,14 @@ def find_overlaps(
     Returns ``id_col``, ``item_col``, ``matches`` (equal words in the stretch),
     ``start_word`` and ``end_word`` (normalised words of the document, end
     exclusive).  The stretch is the one with the highest score if it has enough
-    matches, else the one with the most.  Items come to the executors in blocks of about ``block_bytes`` of text,
+    matches, else the one with the most; of equal ones the earliest.  An item of up to five words is
+    found where all its words stand in sequence.  Items come to the executors in blocks of about ``block_bytes`` of text,
     each block against all documents, so what is broadcast does not grow with
     the benchmark.
 
-    Null and blank texts or items overlap with nothing, and items shorter than
-    the shortest mask are not searched; repeated rows are judged
-    alike; null ids are reported as null; an empty table on either side gives no rows.
+    Null and blank texts or items overlap with nothing; repeated documents are judged
+    alike, and repeated items (equal id and text) count once; null ids are reported as null; other columns are
+    left out; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), utf8(F.col(item_text_col)).alias("t"))
@@ -160,10 +176,10 @@ def find_overlaps(
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(n_blocks)) == k).distinct().orderBy("item").collect()
         words = [word_hashes(normal_words(bytes(r.t))) for r in block]
-        index = spark.sparkContext.broadcast(([r.item for r in block], words, seeds))
+        index = spark.sparkContext.broadcast((uuid.uuid4().hex, [r.item for r in block], words, seeds))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            search = Index(*index.value)
+            search = _index(index)
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -175,21 +191,24 @@ def find_overlaps(
                 )
 
         to_arrow = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-        part = docs.select(F.col(id_col), utf8(F.col(text_col)).alias("t")).mapInArrow(scan, schema)
+        part = map_arrow(docs.select(F.col(id_col), utf8(F.col(text_col)).alias("t")), scan, schema)
         out = part if out is None else out.union(part)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matches", "start_word", "end_word")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 500_000, least_words: int = LEAST_WORDS, **options) -> DataFrame:
     """``docs`` without the documents that overlap a benchmark item; all columns pass through.
 
-    Each row is judged by its own text, so null and repeated ids don't matter.  The
+    Items below ``least_words`` words are no reason to drop a document: a clean text may hold them by chance.
+    Each row is judged by its own text, so null and repeated ids don't matter; null and empty texts stay,
+    an empty table on either side drops nothing.  The
     fingerprints of texts that go are broadcast only while there are at most ``broadcast_rows``.
     """
-    text = options.pop("text_col", "text")
+    text, item_text = options.pop("text_col", "text"), options.get("item_text_col", "text")
+    items = benchmark.where(F.regexp_count(F.coalesce(F.col(item_text), F.lit("")), F.lit(WORD)) >= least_words)
     key = F.sha2(utf8(docs[text]), 256)
     keyed = docs.select(key.alias("__key"), docs[text].alias("__text"))
-    gone = find_overlaps(keyed, benchmark, "__key", "__text", **options).select(F.col("__key").alias("__gone"))
+    gone = find_overlaps(keyed, items, "__key", "__text", **options).select(F.col("__key").alias("__gone"))
     gone = materialize(gone.distinct(), "decon-gone")
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
