@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from upslope.llm._copies import count_copies, number_copies
 from upslope.llm._text import word_count
-from upslope.scratch import materialize
+from upslope.operators.ordering import prefix_sums
+from upslope.scratch import drop_tables, materialize
 
 WEIGHTS = (3, 1, 2)
 EPOCHS = 2
@@ -51,7 +53,7 @@ def mix_sources(
     share: tuple[int, int] = (3, 2),
     weights: tuple[int, ...] = WEIGHTS,
     seed: str = "mix",
-    range_rows: int = 8192,
+    range_rows: int = 256,
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -61,12 +63,17 @@ def mix_sources(
 
     A null text has size 0 and is never taken; a null source is a source of its
     own, ordered last; a null id is queued like any other.  Rows that agree in id,
-    source and size are interchangeable.  An empty table gives no rows.  Reruns
-    agree, whatever the partitioning.
+    source and size are interchangeable: they are numbered, and each has a place of its own in
+    the random order.  An empty table gives no rows.  Reruns
+    agree, whatever the partitioning.  One task holds a row for each source.
     """
-    unit = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
+    name = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("\0"), F.col("size").cast("string")))
+    name = F.concat(F.lit(seed), name, F.when(F.col("copy") > 0, F.concat(F.lit("#"), F.col("copy").cast("string"))).otherwise(""))
+    unit = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = materialize(rows.withColumn("u", unit), "mix-rows")
+    counts = materialize(count_copies(rows), "mix-counts")
+    most = counts.agg(F.max("n")).first()[0] or 0
+    rows = materialize(number_copies(counts, most).withColumn("u", unit), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     budget = total.b * share[0] / share[1]
@@ -74,27 +81,29 @@ def mix_sources(
 
     # cumulative words of a source: ranges of the random order first, then within a range
     n_ranges = max(1, math.ceil(total.n / range_rows))
-    ranged = rows.withColumn("g", F.floor(F.col("u") * F.lit(n_ranges / 2.0**52)).cast("long"))
+    t = targets.join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    t = t.select(F.col("source").alias("s"), "source_size", "target", F.ceil(F.col("n") / range_rows).alias("ranges"))
+    ranged = rows.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    ranged = ranged.withColumn("g", F.floor(F.col("u") * (F.col("ranges") / F.lit(2.0**52))).cast("long"))
     parts = ranged.groupBy("source", "g").agg(F.sum("size").alias("part"))
-    earlier = W.partitionBy("source").orderBy("g").rowsBetween(W.unboundedPreceding, -1)
-    base = parts.select(F.col("source").alias("s"), F.col("g").alias("b"), F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("base"))
-    inner = W.partitionBy("source", "g").orderBy("u", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
+    base = prefix_sums(parts, ["source"], "g", "part").select(F.col("source").alias("s"), F.col("g").alias("b"), "base")
+    inner = W.partitionBy("source", "g").orderBy("u", F.col("id").asc_nulls_first(), "size", "copy").rowsBetween(W.unboundedPreceding, 0)
     queue = ranged.withColumn("run", F.sum("size").over(inner))
     queue = queue.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("g") == F.col("b"))).drop("s", "b")
-    t = targets.withColumnRenamed("source", "s")
-    queue = queue.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     cum = F.col("base") + F.col("run")
     for e in range(EPOCHS):
         queue = queue.withColumn(f"f{e}", (cum + e * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0)))
-    queue = materialize(queue.select("id", "source", "size", "source_size", "target", "u", *(f"f{e}" for e in range(EPOCHS))), "mix-queue")
+    before = rows
+    queue = materialize(queue.select("id", "source", "size", "source_size", "target", "u", "copy", *(f"f{e}" for e in range(EPOCHS))), "mix-queue")
+    drop_tables(before, counts)
 
     def key(epoch: int) -> Column:
-        return F.struct(F.col(f"f{epoch}").alias("f"), F.lit(epoch).alias("e"), F.coalesce("source", F.lit("")).alias("s"), F.col("u"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("i"))
+        return F.struct(F.col(f"f{epoch}").alias("f"), F.lit(epoch).alias("e"), F.coalesce("source", F.lit("")).alias("s"), F.col("u"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("i"), F.col("size").alias("z"), F.col("copy").alias("c"))
 
     served = queue.where("size > 0").select("size", F.explode(F.array(*map(key, range(EPOCHS)))).alias("k"))
     served = served.withColumn("r", F.floor(F.col("k.f") * n_ranges).cast("long"))
     totals = served.groupBy("r").agg(F.sum("size").alias("part"))
-    totals = totals.select("r", F.coalesce(F.sum("part").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"), "part")
+    totals = prefix_sums(totals, [], "r", "part")
     last = totals.where(F.col("base") + F.col("part") > budget).orderBy("r").limit(1)
     found = last.collect()
     if not found:
@@ -108,7 +117,7 @@ def mix_sources(
             in_range = F.floor(F.col(f"f{e}") * n_ranges).cast("long")
             inside = in_range < r
             if cut is not None:
-                bound = F.struct(F.lit(cut.f).alias("f"), F.lit(cut.e).alias("e"), F.lit(cut.s).alias("s"), F.lit(cut.u).cast("long").alias("u"), F.lit(cut.i).alias("i"))
+                bound = F.struct(F.lit(cut.f).alias("f"), F.lit(cut.e).alias("e"), F.lit(cut.s).alias("s"), F.lit(cut.u).cast("long").alias("u"), F.lit(cut.i).alias("i"), F.lit(cut.z).cast("long").alias("z"), F.lit(cut.c).cast("long").alias("c"))
                 inside = inside | ((in_range == r) & (key(e) <= bound))
             taken = taken + F.when(inside, 1).otherwise(0)
     return queue.select(F.col("id").alias(id_col), "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.when(F.col("size") > 0, F.col("size") * taken).otherwise(0).cast("long").alias("taken"))
