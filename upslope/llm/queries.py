@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from upslope.llm import decontamination, line_dedup, lm_scoring, mixing, ngram_join, quality, records, secrets, sharding, url_filter
+from upslope.scratch import new_path
 
 #: Vocabulary file of the token records.
-TOKENIZER = os.environ.get("UPSLOPE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +44,7 @@ def op6_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard_records(_table(spark, sf_dir, "documents"))
+    placed = sharding.write_shards(sharding.shard_records(_table(spark, sf_dir, "documents")), new_path(spark, "shards"))
     return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
