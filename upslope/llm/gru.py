@@ -154,14 +154,24 @@ class Adam:
         g[:] = 0
 
 
-def by_step(docs: list[np.ndarray], start: int) -> tuple[list[np.ndarray], list[int]]:
-    """Sequences in descending length as one array per step, with the start symbol shifted in front."""
-    order = sorted(range(len(docs)), key=lambda i: (-len(docs[i]), i))
-    lengths = np.array([len(docs[i]) for i in order])
-    flat = np.concatenate([docs[i] for i in order]).astype(np.int64)
-    begin = np.cumsum(lengths) - lengths
-    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), "right")
-    return [np.full(len(docs), start)] + [flat[begin[:n] + t] for t, n in enumerate(active)], order
+class Steps:
+    """Sequences in descending length, read step by step; ``start`` stands in front of each."""
+
+    def __init__(self, docs: list[np.ndarray], start: int):
+        self.order = np.array(sorted(range(len(docs)), key=lambda i: (-len(docs[i]), i)), np.int64)
+        lengths = np.array([len(docs[i]) for i in self.order])
+        self.flat = np.concatenate([docs[i] for i in self.order]).astype(np.int64)
+        self.begin = np.cumsum(lengths) - lengths
+        self.active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), "right")
+        self.start = start
+
+    def windows(self, width: int) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+        """Inputs and targets of ``width`` steps at a time; sequences that have ended drop out at the end."""
+        for a in range(0, len(self.active), width):
+            steps = range(a, min(a + width, len(self.active)))
+            at = [self.begin[: self.active[t]] + t for t in steps]
+            inputs = [self.flat[x - 1] if t else np.full(len(x), self.start) for t, x in zip(steps, at, strict=True)]
+            yield inputs, [self.flat[x] for x in at]
 
 
 def train(net: Gru, docs: list[np.ndarray], adam: Adam, batch: int = 256, segment: int = 512) -> int:
@@ -174,11 +184,8 @@ def train(net: Gru, docs: list[np.ndarray], adam: Adam, batch: int = 256, segmen
     groups = [parts[i : i + batch] for i in range(0, len(parts), batch)]
     seen = 0
     for g in np.random.default_rng(len(groups)).permutation(len(groups)):
-        steps, _ = by_step(groups[g], net.heads + net.bands)
         h = np.zeros((len(groups[g]), HIDDEN), np.float32)
-        for a in range(0, len(steps) - 1, WINDOW):
-            targets = steps[a + 1 : a + 1 + WINDOW]
-            inputs = [x[: len(y)] for x, y in zip(steps[a:], targets, strict=False)]
+        for inputs, targets in Steps(groups[g], net.heads + net.bands).windows(WINDOW):
             kept: list = []
             hs = list(net.steps(h, inputs, kept))
             target = np.concatenate(targets)
@@ -196,16 +203,14 @@ def score(net: Gru, docs: list[np.ndarray], window: int = 64) -> np.ndarray:
     out = np.zeros(len(docs))
     if not docs:
         return out
-    steps, order = by_step(docs, net.heads + net.bands)
+    steps = Steps(docs, net.heads + net.bands)
     total = np.zeros(len(docs))
     h = np.zeros((len(docs), HIDDEN), np.float32)
-    for a in range(0, len(steps) - 1, window):
-        targets = steps[a + 1 : a + 1 + window]
-        inputs = [x[: len(y)] for x, y in zip(steps[a:], targets, strict=False)]
+    for inputs, targets in steps.windows(window):
         hs = list(net.steps(h, inputs))
         logp, _ = net.outputs(np.concatenate(hs), np.concatenate(targets))
         at = np.concatenate([np.arange(len(t)) for t in targets])
         total += np.bincount(at, logp, len(total))
         h = hs[-1]
-    out[order] = total / np.log(10)
+    out[steps.order] = total / np.log(10)
     return out

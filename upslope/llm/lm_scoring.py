@@ -5,8 +5,13 @@ vocabulary anywhere: a task numbers the words of a block of documents, sends eac
 distinct word's hash once to the word's bucket and gets the corpus count back,
 so what moves is distinct words per block.  The commonest words become symbols
 of a gated recurrent network (see ``gru``), rarer ones fall into bands by count
-and get their share of the band.  Blocks train copies of the network in parallel
-and the copies are averaged, weighted by what they saw; then every document is scored.
+and get their share of the band.
+
+Documents are dealt by a hash of id and text to shards of about ``SHARD_TOKENS`` tokens.
+Each shard trains a copy of the network and the copies are averaged, weighted by
+what they saw; then every document is scored.  What a shard holds, in which
+order, and the order of the sums depend on the rows alone, so scores don't change with the
+partitioning or when a task runs again.
 """
 
 from __future__ import annotations
@@ -19,12 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from upslope.llm import gru
+from upslope.llm._arrow import map_arrow
+from upslope.llm._copies import count_copies, number_copies
 from upslope.llm._text import utf8, word_hashes
 from upslope.scratch import drop_tables, materialize
 
 HEADS = 1024
 BANDS = 48
 _BLOCK_TOKENS = 2_000_000
+#: Tokens of a shard, on average.
+SHARD_TOKENS = 2_000_000
+#: Rows that one step of a reduction adds up.
+_FAN_IN = 16
+#: Rows with one id above which equal rows are told apart before they are dealt.
+_MANY = 1000
 
 
 def is_held_out(id_col: str, parts: int = 7, held: int = 2):
@@ -76,7 +89,7 @@ def _number_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 words = text.lower().split()
                 toks = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
                 held_rows.append((doc, held, toks))
-                size += len(toks)
+                size += len(toks) + 10  # a row counts even without words
                 if size >= _BLOCK_TOKENS:
                     yield from close()
                     block, held_rows, numbers, size = block + 1, [], _Numbering(), 0
@@ -84,7 +97,7 @@ def _number_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield from close()
 
     rows = docs.select(F.col(id_col), is_held_out(id_col).alias("held"), utf8(F.col(text_col)).alias("t"))
-    return rows.mapInArrow(number, f"block long, id {kind}, held boolean, toks binary, words binary, counts binary")
+    return map_arrow(rows, number, f"block long, id {kind}, held boolean, toks binary, words binary, counts binary")
 
 
 def _gather_counts(blocks: DataFrame, n_buckets: int) -> DataFrame:
@@ -138,10 +151,10 @@ def _gather_counts(blocks: DataFrame, n_buckets: int) -> DataFrame:
         if rows:
             yield total(rows)
 
-    sent = blocks.where("words is not null").select("block", "words", "counts").mapInArrow(send, "bucket int, block long, h binary, c binary")
+    sent = map_arrow(blocks.where("words is not null").select("block", "words", "counts"), send, "bucket int, block long, h binary, c binary")
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket", "block")
     schema = "bucket int, block long, c binary, top_at binary, top_hash binary, heads binary, head_counts binary, band_words binary, band_counts binary"
-    return dealt.mapInArrow(answer, schema)
+    return map_arrow(dealt, answer, schema)
 
 
 def band_of(c: np.ndarray) -> np.ndarray:
@@ -178,8 +191,8 @@ class Vocabulary:
         return float(np.log10(self.total + self.distinct + 1))
 
 
-def _vocabulary(replies: DataFrame, n_train: int) -> Vocabulary:
-    """Collects band totals and at most ``HEADS`` words: rows are first reduced to those bounds by Spark."""
+def _vocabulary(replies: DataFrame, n_train: int, n_buckets: int) -> Vocabulary:
+    """Collects band totals and at most ``HEADS`` words: rows are reduced to those bounds in steps of ``_FAN_IN``."""
     keep = HEADS - 1
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +207,13 @@ def _vocabulary(replies: DataFrame, n_train: int) -> Vocabulary:
         yield _binary([tuple(x.tobytes() for x in (h, c, words, counts))], (pa.binary(),) * 4, ("heads", "head_counts", "band_words", "band_counts"))
 
     schema = "heads binary, head_counts binary, band_words binary, band_counts binary"
-    stats = replies.where("heads is not null").select("heads", "head_counts", "band_words", "band_counts")
-    row = stats.mapInArrow(reduce, schema).coalesce(1).mapInArrow(reduce, schema).first()
+    stats = replies.where("heads is not null")
+    few = n_buckets
+    while few > _FAN_IN:
+        few = -(-few // _FAN_IN)
+        stats = stats.withColumn("part", F.pmod(F.xxhash64("heads"), F.lit(few))).repartition(few, "part")
+        stats = map_arrow(stats.select("heads", "head_counts", "band_words", "band_counts"), reduce, schema)
+    row = map_arrow(stats.select("heads", "head_counts", "band_words", "band_counts").repartition(1), reduce, schema).first()
     arrays = [np.frombuffer(bytes(row[i]), t) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64))]
     return Vocabulary(*arrays, n_train)
 
@@ -236,61 +254,110 @@ def _code_documents(blocks: DataFrame, replies: DataFrame, vocabulary: Vocabular
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(code, schema)
 
 
-def _average(parts: DataFrame) -> np.ndarray | None:
-    """Mean of the networks, weighted by the symbols they saw; partial sums first, so the driver gets one row."""
+def _pack_shards(coded: DataFrame, n_shards: int, id_type: str) -> DataFrame:
+    """One row for each shard with all its documents, in the order of their hash."""
+    names = ("shard", "ids", "held", "n_tokens", "n_known", "base_score", "tail_score", "symbols")
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, total = 0.0, None
-        for batch in batches:
-            for w, flat in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(flat, np.float32).astype(np.float64)
-                total = w * x if total is None else total + w * x
-                weight += w
-        if weight:
-            yield _binary([(weight, (total / weight).astype(np.float32).tobytes())], (pa.float64(), pa.binary()), ("w", "flat"))
-
-    schema = "w double, flat binary"
-    some = max(1, parts.rdd.getNumPartitions() // 16)
-    rows = parts.coalesce(some).mapInArrow(add, schema).coalesce(1).mapInArrow(add, schema).collect()
-    return np.frombuffer(bytes(rows[0].flat), np.float32).copy() if rows else None
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            ids = whole.column("id").combine_chunks()
+            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids)
+            flat = [whole.column(n).to_numpy().astype(t).tobytes() for n, t in (("held", bool), ("n_tokens", np.int64), ("n_known", np.int64), ("base_score", float), ("tail_score", float))]
+            symbols = b"".join(whole.column("symbols").to_pylist())
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), ids, *(pa.array([x], pa.binary()) for x in (*flat, symbols))], names=list(names))
 
+        shard, parts = None, []
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if parts and own[i] != shard:
+                    yield close()
+                    parts = []
+                shard = int(own[i]) if j > i else shard
+                if j > i:
+                    parts.append(batch.slice(i, j - i))
+        if parts:
+            yield close()
+
+    h = F.xxhash64("id", "symbols")
+    dealt = coded.select("*", h.alias("h")).withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "h", "copy"), F.lit(n_shards)).cast("int"))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "h", "copy")
+    dealt = dealt.select("shard", "id", "held", "n_tokens", "n_known", "base_score", "tail_score", "symbols")
+    schema = f"shard int, ids array<{id_type}>, " + ", ".join(f"{n} binary" for n in names[2:])
+    return map_arrow(dealt, pack, schema)
+
+
+def _texts(symbols: bytes, n_tokens: bytes) -> list[np.ndarray]:
+    """The documents of a shard."""
+    ends = np.cumsum(np.frombuffer(n_tokens, np.int64))
+    return np.split(np.frombuffer(symbols, np.uint16), ends[:-1])
+
+
+def _average(copies: DataFrame, n_shards: int) -> np.ndarray | None:
+    """Mean of the networks, weighted by the symbols they saw, added up in the order of their shards.
+
+    Each step adds up to ``_FAN_IN`` neighbours, so no task reads more networks than that and the driver gets one.
+    """
+    schema = "at int, w double, flat binary"
 
-def train_network(coded: DataFrame, vocabulary: Vocabulary, rounds: int = 2) -> gru.Gru:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, weight, total = None, 0.0, None
+        for batch in batches:
+            for p, w, flat in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if p != part and total is not None:
+                    yield _binary([(part, weight, (total / weight).tobytes())], (pa.int32(), pa.float64(), pa.binary()), ("at", "w", "flat"))
+                    weight, total = 0.0, None
+                x = w * np.frombuffer(flat, np.float64)
+                part, weight, total = p, weight + w, x if total is None else total + x
+        if total is not None:
+            yield _binary([(part, weight, (total / weight).tobytes())], (pa.int32(), pa.float64(), pa.binary()), ("at", "w", "flat"))
+
+    rows, few = copies, n_shards
+    while True:
+        few = -(-few // _FAN_IN)
+        rows = rows.select(F.expr(f"at div {_FAN_IN}").cast("int").alias("part"), "at", "w", "flat").repartition(few, "part").sortWithinPartitions("part", "at")
+        rows = map_arrow(rows, add, schema)
+        if few == 1:
+            break
+    found = rows.collect()
+    return np.frombuffer(bytes(found[0].flat), np.float64).astype(np.float32) if found else None
+
+
+def train_network(shards: DataFrame, vocabulary: Vocabulary, n_shards: int, rounds: int = 2) -> gru.Gru:
     """One pass over all training documents in ``rounds`` disjoint shares.
 
-    In each round every task trains a copy on its documents of the share,
+    In each round every shard trains a copy on its documents of the share,
     starting from the common network, and the copies are averaged.
     """
     net = gru.Gru.initial(vocabulary.counts, HEADS, BANDS)
-    context = coded.sparkSession.sparkContext
-    training = coded.where("not held").select("symbols")
+    context = shards.sparkSession.sparkContext
+    training = shards.select("shard", "held", "n_tokens", "symbols")
     for r in range(rounds):
         start = context.broadcast(net.flat)
 
         def fit(batches: Iterator[pa.RecordBatch], r=r, start=start) -> Iterator[pa.RecordBatch]:
-            own = gru.Gru(HEADS, BANDS, start.value.copy())
-            adam = gru.Adam(own)
-            docs, held, seen = [], 0, 0
             for batch in batches:
-                for i, raw in enumerate(batch.column(0).to_pylist()):
-                    if i % rounds == r:
-                        docs.append(np.frombuffer(raw, np.uint16))
-                        held += len(docs[-1])
-                        if held >= _BLOCK_TOKENS:
-                            seen += gru.train(own, docs, adam)
-                            docs, held = [], 0
-            if docs:
-                seen += gru.train(own, docs, adam)
-            if seen:
-                yield _binary([(float(seen), own.flat.tobytes())], (pa.float64(), pa.binary()), ("w", "flat"))
-
-        flat = _average(materialize(training.mapInArrow(fit, "w double, flat binary"), "lm-copies"))
+                for shard, held, n_tokens, symbols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    texts = _texts(symbols, n_tokens)
+                    docs = [texts[i] for i in np.flatnonzero(~np.frombuffer(held, bool))[r::rounds].tolist()]
+                    if not docs:
+                        continue
+                    own = gru.Gru(HEADS, BANDS, start.value.copy())
+                    seen = gru.train(own, docs, gru.Adam(own))
+                    yield _binary([(shard, float(seen), own.flat.astype(np.float64).tobytes())], (pa.int32(), pa.float64(), pa.binary()), ("at", "w", "flat"))
+
+        copies = materialize(map_arrow(training, fit, "at int, w double, flat binary"), "lm-copies")
+        flat = _average(copies, n_shards)
+        drop_tables(copies)
+        start.unpersist()
         if flat is not None:
             net = gru.Gru(HEADS, BANDS, flat)
     return net
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Scores of every whole document.
 
     Returns ``id_col``, ``held_out``, ``n_tokens`` (words and the end), ``n_known`` (tokens
@@ -299,47 +366,41 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null or blank text is the end alone; a null id is learned from; repeated
     rows count as often as they are in the table; without training documents every
-    word is unseen; an empty table gives no rows.
+    word is unseen; other columns are left out; an empty table gives no rows.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = materialize(_number_words(docs, id_col, text_col), "lm-blocks", "zstd")
+    rows = blocks.where("toks is not null")
+    facts = rows.agg(F.count("*").alias("n"), F.count_if(~F.col("held")).alias("learned"), F.coalesce(F.sum(F.octet_length("toks") / 4), F.lit(0)).alias("words")).first()
     n_blocks = blocks.where("words is not null").count()
-    n_train = blocks.where("toks is not null and not held").count()
+    n_shards = max(1, round((facts.n + facts.words) / shard_tokens))
     n_buckets = 1 << min(16, max(4, int(np.ceil(np.log2(2 * n_blocks + 1)))))
     replies = materialize(_gather_counts(blocks, n_buckets), "lm-counts", "zstd")
     if n_blocks and replies.limit(1).count():
-        vocabulary = _vocabulary(replies, n_train)
+        vocabulary = _vocabulary(replies, facts.learned, n_buckets)
     else:
         none = np.empty(0, np.int64)
-        vocabulary = Vocabulary(none.view(np.uint64), none, np.zeros(BANDS, np.int64), np.zeros(BANDS, np.int64), n_train)
-    coded = materialize(_code_documents(blocks, replies, vocabulary, kind), "lm-coded", "zstd")
+        vocabulary = Vocabulary(none.view(np.uint64), none, np.zeros(BANDS, np.int64), np.zeros(BANDS, np.int64), facts.learned)
+    coded = _code_documents(blocks, replies, vocabulary, kind)
+    most = rows.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    coded = number_copies(count_copies(coded), most) if most > _MANY else coded.withColumn("copy", F.lit(0).cast("long"))
+    shards = materialize(_pack_shards(coded, n_shards, kind), "lm-shards", "zstd")
     drop_tables(blocks, replies)
-    net = train_network(coded, vocabulary, rounds)
+    net = train_network(shards, vocabulary, n_shards, rounds)
     shared = spark.sparkContext.broadcast(net.flat)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = gru.Gru(HEADS, BANDS, shared.value)
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            symbols = [np.frombuffer(x, np.uint16) for b in held for x in b.column(6).to_pylist()]
-            found, at = gru.score(own, symbols), 0
-            for b in held:
-                score = found[at : at + b.num_rows] + b.column(5).to_numpy()
-                at += b.num_rows
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(score)], names=["id", "held", "n_tokens", "n_known", "base_score", "score"])
-
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                held.append(batch.slice(k, 1000))
-                size += sum(len(x) for x in held[-1].column(6).to_pylist()) // 2
-                if size >= 2 * _BLOCK_TOKENS:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
-
-    rated = coded.mapInArrow(rate, f"id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
+            for k in range(batch.num_rows):
+                ids = batch.column(1)[k].values
+                held, n_tokens, n_known, base, tail, symbols = (batch.column(i)[k].as_py() for i in range(2, 8))
+                score = gru.score(own, _texts(symbols, n_tokens)) + np.frombuffer(tail)
+                columns = [ids, pa.array(np.frombuffer(held, bool)), *(pa.array(np.frombuffer(x, np.int64)) for x in (n_tokens, n_known)), pa.array(np.frombuffer(base)), pa.array(score)]
+                whole = pa.RecordBatch.from_arrays(columns, names=["id", "held", "n_tokens", "n_known", "base_score", "score"])
+                for at in range(0, len(ids), 2000):
+                    yield whole.slice(at, 2000)
+
+    rated = map_arrow(shards, rate, f"id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
     return rated.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")
