@@ -17,14 +17,16 @@ lists decide.
 3. Each group is joined on whole sets with DivideSkip: the short lists of a node are
    merged, the L longest are probed by binary search for the nodes that
    occur often enough in the short ones, and a pair stays if the shared
-   shingles reach the required overlap.  A group above ``block_shingles`` is cut
-   into blocks ordered by set size, and pairs of blocks whose sizes can match
+   shingles reach the required overlap.  A group above ``SPLIT_NODES`` nodes or
+   ``block_shingles`` is cut by set size, so that only neighbouring
+   size classes can match, and each class into blocks; pairs of blocks
    are joined as tasks of their own.
 4. Linked nodes form classes by connected components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from upslope.llm._arrow import map_arrow
 from upslope.llm._text import shingle_hashes, utf8
 from upslope.operators.graph import connected_components
 from upslope.scratch import drop_tables, materialize
@@ -43,6 +46,9 @@ MAX_FREQUENT = 1 << 18
 _BUCKETS = 1 << 12
 #: Longest inverted list of which all pairs are counted.
 SHORT_LIST = 64
+#: Groups above so many nodes are cut into blocks of about half as many, up to ``MOST_BLOCKS`` unless memory asks for more.
+SPLIT_NODES = 128
+MOST_BLOCKS = 32
 #: Shingles that a task holds at once.
 _HELD = 2_000_000
 
@@ -76,7 +82,7 @@ def _node_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
                 names=["id", "n", "node", "items"],
             )
 
-    return docs.select(F.col(id_col), utf8(F.col(text_col)).alias("t")).mapInArrow(sets, f"id {kind}, n long, node long, items binary")
+    return map_arrow(docs.select(F.col(id_col), utf8(F.col(text_col)).alias("t")), sets, f"id {kind}, n long, node long, items binary")
 
 
 def _frequent(nodes: DataFrame, least: int = 2) -> np.ndarray:
@@ -106,7 +112,7 @@ def _frequent(nodes: DataFrame, least: int = 2) -> np.ndarray:
         if parts:
             yield flush()
 
-    counts = nodes.where("node is not null").select("node", "items").mapInArrow(local, "h long, c long")
+    counts = map_arrow(nodes.where("node is not null").select("node", "items"), local, "h long, c long")
     top = materialize(counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least), "ngram-frequent")
     above = 0
     for r in top.groupBy(F.least("c", F.lit(4096)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
@@ -118,7 +124,7 @@ def _frequent(nodes: DataFrame, least: int = 2) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], names=["h", "c"])
 
-    rows = top.where(F.col("c") >= least).limit(MAX_FREQUENT).mapInArrow(pack, "h binary, c binary").collect()
+    rows = map_arrow(top.where(F.col("c") >= least).limit(MAX_FREQUENT), pack, "h binary, c binary").collect()
     drop_tables(top)
     h = np.frombuffer(b"".join(bytes(r.h) for r in rows), np.int64).view(np.uint64)
     c = np.frombuffer(b"".join(bytes(r.c) for r in rows), np.int64)
@@ -262,9 +268,10 @@ def _candidate_edges(nodes: DataFrame, frequent: np.ndarray, percent: int) -> Da
             yield out(PAIR, *_counted(np.concatenate(xs), np.concatenate(ys)))
 
     schema = "bucket int, kind int, a binary, b binary, c binary"
-    posted = nodes.where("node is not null").select("node", "items").mapInArrow(lists, schema)
+    posted = map_arrow(nodes.where("node is not null").select("node", "items"), lists, schema)
     dealt = posted.repartition("bucket").sortWithinPartitions("bucket")
-    met = materialize(dealt.mapInArrow(meet, "kind int, x long, y long, m long"), "ngram-met")
+    met = materialize(map_arrow(dealt, meet, "kind int, x long, y long, m long"), "ngram-met")
+    shared.unpersist()
     pairs = met.where(F.col("kind") == PAIR).groupBy("x", "y").agg(F.sum("m").alias("m"))
     info = met.where(F.col("kind") == NODE).groupBy(F.col("x").alias("node")).agg(F.first("y").alias("place"), F.first("m").alias("n"))
     near = pairs.join(info.select(F.col("node").alias("x"), F.col("place").alias("px"), F.col("n").alias("nx")), "x")
@@ -371,7 +378,7 @@ def _join_groups(members: DataFrame, percent: int) -> DataFrame:
             yield one(rows)
 
     dealt = members.select("task", "side", "node", "copies", "items").repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(join, "node long, root long, links long")
+    return map_arrow(dealt, join, "node long, root long, links long")
 
 
 def _candidate_bits(groups: DataFrame, bits: int = 1 << 24) -> np.ndarray:
@@ -384,7 +391,7 @@ def _candidate_bits(groups: DataFrame, bits: int = 1 << 24) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], names=["w", "b"])
 
     out = np.zeros(bits >> 5, np.uint32)
-    for r in rows.groupBy("w").agg(F.bit_or("b").alias("b")).mapInArrow(pack, "w binary, b binary").collect():
+    for r in map_arrow(rows.groupBy("w").agg(F.bit_or("b").alias("b")), pack, "w binary, b binary").collect():
         out[np.frombuffer(bytes(r.w), np.int64)] = np.frombuffer(bytes(r.b), np.int64).astype(np.uint32)
     return out
 
@@ -410,37 +417,44 @@ def similar_sets(nodes: DataFrame, percent: int, block_shingles: int = 1_000_000
             for i in np.flatnonzero(hit).tolist():
                 hit[i] = node[i] not in sent  # a task sends one of equal sets
                 sent.add(node[i])
+            if len(sent) > _HELD // 4:
+                sent.clear()  # a node sent twice only costs its way
             yield batch.filter(pa.array(hit))
 
     held = nodes.where("node is not null").select("node", "n", "items")
-    held = held.mapInArrow(candidates, held.schema)
+    held = map_arrow(held, candidates, held.schema)
     whole = held.join(groups.select("node", F.col("component").alias("g")), "node")
     whole = whole.groupBy("g", "node").agg(F.first("n").alias("n"), F.first("items").alias("items"))
     whole = whole.join(nodes.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")), "node")
     whole = materialize(whole, "ngram-groups")
+    bitmap.unpersist()
     if written is not None:
         written.append(whole)
-    by_size = W.partitionBy("g").orderBy("n", "node").rowsBetween(W.unboundedPreceding, 0)
-    plan = whole.select("g", "node", "n")
-    large = plan.groupBy("g").agg(F.sum("n").alias("total")).where(F.col("total") > block_shingles).select("g")
-    large = materialize(large, "ngram-large")
+    step = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)  # sets at the threshold are at most one class apart
+    size_class = F.floor(F.log(F.col("n")) / step).cast("int").alias("size_class")
+    counted = whole.select("g", size_class, "n").groupBy("g", "size_class").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+    by_group = W.partitionBy("g")
+    large = counted.withColumn("all_nodes", F.sum("nodes").over(by_group)).withColumn("all_shingles", F.sum("shingles").over(by_group))
+    large = large.where((F.col("all_nodes") > SPLIT_NODES) | (F.col("all_shingles") > block_shingles))
+    for_memory, for_tasks = F.ceil(F.col("shingles") / block_shingles), F.least(F.lit(MOST_BLOCKS), F.ceil(2 * F.col("nodes") / SPLIT_NODES))
+    large = materialize(large.select(F.col("g").alias("lg"), F.col("size_class").alias("lc"), F.greatest(for_memory, for_tasks).cast("int").alias("k")), "ngram-large")
     if large.limit(1).count() == 0:
         out = _join_groups(whole.select(F.col("g").alias("task"), F.lit(0).alias("side"), "node", "copies", "items"), percent)
         out = materialize(out, "ngram-links")
         linked = out.select("node", F.col("root").alias("component"), "links")
         return linked.where("links > 0")
-    cut = plan.join(large, "g").withColumn("block", F.floor(F.sum("n").over(by_size) / block_shingles).cast("long"))
-    cut = materialize(cut.select("g", "node", "n", "block"), "ngram-blocks")
-    ends = cut.groupBy("g", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a, b = ends.alias("a"), ends.alias("b")
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.block") <= F.col("b.block"))).where(100 * F.col("a.hi") >= percent * F.col("b.lo"))
-    i, j = F.col("a.block"), F.col("b.block")
-    pairs = pairs.select(F.col("a.g").alias("g"), i.alias("i"), j.alias("j"), F.xxhash64("a.g", i, j).alias("task"))
-    sides = pairs.select("g", F.col("i").alias("block"), "task", F.lit(0).alias("side"))
-    sides = sides.union(pairs.where("i < j").select("g", F.col("j").alias("block"), "task", F.lit(1).alias("side")))
-    spread = cut.join(sides, ["g", "block"]).select("g", "node", "task", "side")
-    parts = whole.join(spread, ["g", "node"]).select("task", "side", "node", "copies", "items")
-    rest = whole.join(large, "g", "left_anti").select(F.col("g").alias("task"), F.lit(0).alias("side"), "node", "copies", "items")
+    blocks = large.select("lg", "lc", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"))
+    a = blocks.select(F.col("lg").alias("ag"), F.col("lc").alias("ac"), F.col("block").alias("i"))
+    b = blocks.select("lg", F.explode(F.array("lc", F.col("lc") - 1)).alias("near"), "lc", F.col("block").alias("j"))
+    pairs = a.join(b, (F.col("ag") == F.col("lg")) & (F.col("ac") == F.col("near"))).where("lc > ac or i <= j")
+    pairs = pairs.withColumn("task", F.xxhash64("ag", "ac", "i", "lc", "j"))
+    sides = pairs.select("task", F.lit(0).alias("side"), F.col("ag").alias("sg"), F.col("ac").alias("sc"), F.col("i").alias("sb"))
+    sides = sides.union(pairs.where("lc > ac or i < j").select("task", F.lit(1), "lg", "lc", "j"))
+    cut = whole.withColumn("size_class", size_class).join(large, (F.col("g") == F.col("lg")) & (F.col("size_class") == F.col("lc")))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("k").cast("long")).cast("int"))
+    parts = cut.join(sides, (F.col("g") == F.col("sg")) & (F.col("size_class") == F.col("sc")) & (F.col("block") == F.col("sb")))
+    parts = parts.select("task", "side", "node", "copies", "items")
+    rest = whole.join(large.select("lg").distinct(), F.col("g") == F.col("lg"), "left_anti").select(F.col("g").alias("task"), F.lit(0).alias("side"), "node", "copies", "items")
     out = materialize(_join_groups(rest.union(parts), percent), "ngram-links")
     roots = connected_components(out.where("links > 0").select("node", "root"), "node", "root")
     total = out.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
@@ -479,15 +493,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
-    """``docs`` without the rows whose class has a smaller id; all columns pass through.
+    """``docs`` with one document of each class: the one with the smallest id; all columns pass through.
 
-    Rows that share an id count as one document and stay or go together.  The ids
+    A document is an id with a text.  Rows that agree in both stay or go together; of texts that share an id
+    the one with the smallest hash stays, and null ids come after all others.  Null and blank texts are in no
+    class and stay; an empty table stays empty.  The documents
     that go are broadcast only while there are at most ``broadcast_rows``.
     """
     written: list[DataFrame] = []
-    found = near_duplicates(docs, id_col, text_col, width, percent, written)
-    gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "ngram-gone")
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    found = near_duplicates(docs.select(row.alias("__row"), F.col(text_col).alias("__text")), "__row", "__text", width, percent, written)
+    gone = found.where(F.col("__row") != F.col("component_id")).select(F.col("__row.id").alias("__id"), F.col("__row.text").alias("__hash")).distinct()
+    gone = materialize(gone, "ngram-gone")
     drop_tables(*written)
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_anti")
