@@ -88,6 +88,15 @@ def test_names_and_distances(spark):
     got = df.select(text.name_key(F.col("n")).alias("n"), text.course_metres(F.col("d")).alias("d")).collect()
     assert [r.n for r in got] == ["universitedemontrealandcoathome", "", "aandb", "x"]
     assert [r.d for r in got] == [4 * 1609.344, 8000.0, 5000.0, None]
+    folded = spark.createDataFrame([("Šimić Łódź",), ("ﬁn ²",), ("Straße",), ("Ångström, J.",)], "n string").select(text.name_key(F.col("n")).alias("n")).collect()
+    assert [r.n for r in folded] == ["simicodz", "fin2", "strasse", "angstromj"]
+
+
+def test_all_status_codes_and_bare_metres(spark):
+    rows = [("time", c) for c in marks.STATUS_CODES] + [("distance", " d.q. "), ("distance", "7.45"), ("distance", "dsq."), ("time", "10.5.")]
+    got = [r.m for r in spark.createDataFrame(rows, "k string, r string").select(marks.parse_mark(F.col("k"), F.col("r")).alias("m")).collect()]
+    assert [m.kind for m in got[:15]] == list(marks.STATUS_CODES) and {m.state for m in got[:15]} == {"status"}
+    assert got[15].state == "unrecognized" and (got[16].kind, got[16].value) == ("metric", 7.45) and got[17].kind == "DSQ" and got[18].value == 10.5
 
 
 @settings(max_examples=15, deadline=None)

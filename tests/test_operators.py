@@ -157,3 +157,47 @@ def test_resumed_chunks_parse_each_key_once(spark):
     resume.process_in_chunks(c, "raw", "t", every, "k", parse, 3)
     assert resume.process_in_chunks(c, "raw", "t", every, "k", parse, 3) == 0
     assert sorted(r.k for r in c.read("raw", "t").collect()) == list(range(30))
+
+
+def test_global_rank_and_groups_equal_a_window(spark):
+    from pyspark.sql import Window as W
+
+    from upslope.operators.ordering import exact_quantiles, global_rank, ntile_of, prefix_sums
+
+    df = spark.range(0, 533, 1, 7).selectExpr("id", "pmod(id * 7919, 31) v", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 2 END k")
+    want = df.select("id", F.row_number().over(W.orderBy(F.col("v").desc(), "id")).alias("r"), F.ntile(10).over(W.orderBy(F.col("v").desc(), "id")).alias("g"))
+    got = global_rank(df, [F.col("v").desc(), F.col("id")], "r").select("id", F.col("r").cast("int").alias("r"), ntile_of(F.col("r"), 533, 10).alias("g"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert [ntile_of(F.lit(i), 3, 10) is not None for i in (1, 3)] == [True, True]
+    small = spark.range(3).select(ntile_of(F.col("id") + 1, 3, 10).alias("g")).collect()
+    assert [r.g for r in small] == [1, 2, 3]
+    q = df.agg(*(F.percentile("v", F.lit(p)).alias(str(p)) for p in (0.0, 0.05, 0.5, 0.95, 1.0))).first()
+    assert exact_quantiles(df, "v", [0.0, 0.05, 0.5, 0.95, 1.0]) == pytest.approx(list(q))
+    assert exact_quantiles(df.limit(0), "v", [0.5]) == [None] and global_rank(df.limit(0), ["v"]).count() == 0
+    before = W.partitionBy("k").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
+    want = df.select("id", F.coalesce(F.sum("v").over(before), F.lit(0)).alias("base")).collect()
+    assert sorted(prefix_sums(df, ["k"], "id", "v", chunk=16).select("id", "base").collect()) == sorted(want)
+
+
+def test_null_keys_keep_their_rows(spark):
+    from upslope.operators import stats, trends
+
+    df = spark.createDataFrame([(i % 3 if i % 4 else None, i % 2 if i % 5 else None, float(i), 1 + i % 5) for i in range(60)], "band int, event int, v double, fold int")
+    assert stats.crossfit_mean(df, "fold", "v", [["band"], ["band", "event"]], [5.0, 5.0]).count() == 60
+    assert trends.peer_context(df, ["band"], "event", "fold", "v").count() == 60
+    assert stats.mad(df, ["band"], "v").count() == 4
+
+
+def test_failed_publication_keeps_the_old_table(spark):
+    from upslope.operators import checks
+    from upslope.scratch import new_path
+    from upslope.sources.catalog import Catalog
+
+    c = Catalog(spark, new_path(spark, "catalog"))
+    good, bad = spark.range(5).selectExpr("id a"), spark.range(5).selectExpr("nullif(id, 2) a")
+    c.publish("core", "t", good)
+    for check in (lambda written: checks.check_constraints(written, [checks.not_null("a")]),):
+        with pytest.raises(Exception):
+            c.publish("core", "t", bad, check)
+    assert c.read("core", "t").count() == 5 and c.read("core", "t").where("a is null").count() == 0
+    assert c.publish("core", "t", good.union(good)).count() == 10

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Codes that stand in place of a mark.
-STATUS_CODES = ("DNS", "DNF", "DQ", "NH", "ND", "NM", "FOUL", "SCR", "FS", "NT", "PASS")
+STATUS_CODES = ("DNF", "DNS", "DQ", "DSQ", "NM", "NH", "NT", "SCR", "FS", "FOUL", "WD", "ND", "NP", "ENR", "PASS")
 _SPACE = "[   \\s]+"
 _DASH = "[‐-―−]"
 _PRIME = "[‘’′`]"
@@ -15,7 +15,7 @@ _NOTE = r"(?i)(?:\s*(?:[#@*+$!]|\([^)]*\)|\[[^\]]*\]|[a-z](?<![hm]))\s*)+$"
 _HMS = r"^(\d{1,2}):([0-5]?\d):([0-5]?\d(?:\.\d+)?)$"
 _MS = r"^(\d{1,3}):([0-5]?\d(?:\.\d+)?)$"
 _S = r"^(\d+(?:\.\d+)?)$"
-_METRIC = r"(?i)^(\d+(?:\.\d+)?)\s*(?:m|meters?|metres?)$"
+_METRIC = r"(?i)^(\d+(?:\.\d+)?)\s*(?:m|meters?|metres?)?$"
 _FEET = r"(?i)^(\d+)\s*(?:'|-|ft\.?)\s*(?:(\d+(?:\.\d+)?)\s*(?:\"|''|in\.?)?)?$"
 _POINTS = r"(?i)^(\d+(?:\.\d+)?)\s*(?:pts?|points?)?$"
 
@@ -34,14 +34,15 @@ def parse_mark(mark_type: Column, raw: Column) -> Column:
     ``mark_type`` is time, distance or points.  state is ``blank``, ``status``,
     ``parsed`` or ``unrecognized``; kind says which form matched (or the status code);
     value is in seconds, metres or points and null unless parsed.  In h:m:s minutes
-    and seconds are below 60, in m:s only seconds; inches are below 12.
+    and seconds are below 60, in m:s only seconds; inches are below 12.  A distance without a unit is in
+    metres.  Codes may be in either case, with spaces or with full stops at their ends.
     """
     text = clean_mark(raw)
-    upper = F.upper(text)
+    upper = F.regexp_replace(F.regexp_replace(F.upper(text), r"^\.+|\.+$", ""), " ", "")
     bare = F.regexp_replace(text, _NOTE, "")
-    annotated = (bare != text) & (bare != "")
+    annotated = (bare != text) & (bare != "") & ~((mark_type == "points") & text.rlike(_POINTS))  # the unit is no annotation
     bare = F.when(bare == "", text).otherwise(bare)
-    timed = F.regexp_replace(bare, r"(?i)\s*h$", "")
+    timed = F.regexp_replace(F.regexp_replace(bare, r"(?i)\s*\.?h$", ""), r"\.$", "")
     hand = (mark_type == "time") & (timed != bare)
 
     def group(x: Column, pattern: str, i: int) -> Column:

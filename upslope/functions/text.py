@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _DATE = r"(?i)^([a-z]{3})[a-z]*\.?\s+(\d{1,2})(?:\s*-\s*(?:([a-z]{3})[a-z]*\.?\s+)?(\d{1,2}))?,?\s+(\d{4})$"
@@ -72,14 +76,19 @@ def event_family(name: Column) -> Column:
     )
 
 
-#: Letters with marks and their plain form.
-_MARKED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūñçýÿ"
-_PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuncyy"
+@F.pandas_udf(StringType())
+def _folded(names: pd.Series) -> pd.Series:
+    """Compatibility decomposition without combining marks, case folded; Spark has no such function."""
+
+    def fold(x: str) -> str:
+        return x.lower() if x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).casefold()
+
+    return names.map(fold)
 
 
 def name_key(name: Column) -> Column:
-    """Letters and digits of a name in lower case, without marks; & and + read and, @ reads at."""
-    x = F.translate(F.lower(F.coalesce(name, F.lit(""))), _MARKED, _PLAIN)
+    """ASCII letters and digits of a name, folded (é to e, ﬁ to fi, ² to 2); & and + read and, @ reads at. Null becomes empty."""
+    x = _folded(F.coalesce(name, F.lit("")))
     x = F.regexp_replace(F.regexp_replace(x, "[&+]", "and"), "@", "at")
     return F.regexp_replace(x, "[^a-z0-9]", "")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from upslope.operators.joins import null_safe_join
+
 from upslope.functions.exprs import arg_max, arg_min
 
 
@@ -98,7 +100,7 @@ def supported_resolution(df: DataFrame, event: list[str], family: list[str], ent
     e = df.groupBy(*family, *[c for c in event if c not in family]).agg(F.count("*").alias("event_n"), F.count_distinct(entity).alias("event_entities"))
     f = df.groupBy(*family).agg(F.count("*").alias("family_n"), F.count_distinct(entity).alias("family_entities"))
     r = F.when((F.col("event_n") >= event_rows) & (F.col("event_entities") >= event_entities), "event").when((F.col("family_n") >= family_rows) & (F.col("family_entities") >= family_entities), "family")
-    return e.join(f, family).withColumn("resolution", r.otherwise("global"))
+    return null_safe_join(e, f, family).withColumn("resolution", r.otherwise("global"))
 
 
 def bounds_check(df: DataFrame, keys: list[str], value: str, low: Column, high: Column, tails: tuple[float, float] = (0.0001, 0.9999)) -> DataFrame:
@@ -107,7 +109,7 @@ def bounds_check(df: DataFrame, keys: list[str], value: str, low: Column, high:
     q = df.where(inside).groupBy(*keys).agg(F.percentile(value, F.lit(tails[0])).alias("q_low"), F.percentile(value, F.lit(tails[1])).alias("q_high"))
     c = F.when(F.col(value).isNull(), "missing").when(F.col(value) < low, "below_bound").when(F.col(value) > high, "above_bound")
     c = c.when(F.col(value) < F.col("q_low"), "low_tail").when(F.col(value) > F.col("q_high"), "high_tail").otherwise("valid")
-    return df.join(q, keys, "left").withColumn("validity", c)
+    return null_safe_join(df, q, keys, "left").withColumn("validity", c)
 
 
 def first_reason(rules: list[tuple[str, Column]], otherwise: str = "eligible") -> Column:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from upslope.operators.joins import null_safe_join
+from upslope.operators.ordering import global_rank, ntile_of
+from upslope.scratch import materialize
+
 BUDGET = 100_000.0
 
 
@@ -22,10 +26,13 @@ def scope_expand(df: DataFrame, year: str, season: str) -> DataFrame:
 
 
 def allocate_budget(df: DataFrame, keys: list[str], signal: str, budget: float = BUDGET) -> DataFrame:
-    """Points in proportion to the signal such that the positive ones of each key add up to the budget."""
-    positive = F.greatest(F.col(signal), F.lit(0.0))
-    pool = F.sum(positive).over(W.partitionBy(*keys))
-    return df.withColumn("points", F.col(signal) * budget / F.nullif(pool, F.lit(0.0)))
+    """Points in proportion to the signal such that the positive ones of each key add up to the budget.
+
+    The input is written once; a key's sum is aggregated and joined back, so a key with most rows is no single task.
+    """
+    df = materialize(df, "budget")
+    pools = df.groupBy(*keys).agg(F.sum(F.greatest(F.col(signal), F.lit(0.0))).alias("__pool"))
+    return null_safe_join(df, pools, keys).withColumn("points", F.col(signal) * budget / F.nullif(F.col("__pool"), F.lit(0.0))).drop("__pool")
 
 
 def bounded_pools(df: DataFrame, keys: list[str], signal: str, support: str, budget: float = BUDGET, cap: float = 1.0, k: Column | None = None) -> DataFrame:
@@ -33,21 +40,14 @@ def bounded_pools(df: DataFrame, keys: list[str], signal: str, support: str, bud
 
     Reliability is sqrt(n / (n + k)), with k the median support of the key unless given.
     """
-    w = W.partitionBy(*keys)
+    df = materialize(df, "pools")
     if k is None:
-        med = df.groupBy(*keys).agg(F.greatest(F.lit(1.0), F.median(support)).alias("k"))
-        on = None
-        for c in keys:
-            e = F.col(c).eqNullSafe(F.col(f"__{c}"))
-            on = e if on is None else on & e
-        med = med.select(*(F.col(c).alias(f"__{c}") for c in keys), "k")
-        df = df.join(med, on).drop(*(f"__{c}" for c in keys))
+        df = null_safe_join(df, df.groupBy(*keys).agg(F.greatest(F.lit(1.0), F.median(support)).alias("k")), keys)
     else:
         df = df.withColumn("k", k)
     x = df.withColumn("reliability", F.sqrt(F.col(support) / (F.col(support) + F.col("k")))).withColumn("weighted", F.col(signal) * F.col("reliability"))
-    up = F.sum(F.greatest("weighted", F.lit(0.0))).over(w)
-    down = -F.sum(F.least("weighted", F.lit(0.0))).over(w)
-    x = x.withColumn("__up", up).withColumn("__down", down)
+    sums = x.groupBy(*keys).agg(F.sum(F.greatest("weighted", F.lit(0.0))).alias("__up"), (-F.sum(F.least("weighted", F.lit(0.0)))).alias("__down"))
+    x = null_safe_join(x, sums, keys)
     pool = F.when(F.col("__up") > 0, budget * F.least(F.col("__down") / F.nullif(F.col("__up"), F.lit(0.0)), F.lit(cap)))
     x = x.withColumn("negative_pool", F.coalesce(pool, F.lit(0.0)))
     points = F.when(F.col("weighted") > 0, F.col("weighted") * budget / F.col("__up")).when(F.col("weighted") < 0, F.col("weighted") * F.col("negative_pool") / F.col("__down")).otherwise(0.0)
@@ -56,20 +56,27 @@ def bounded_pools(df: DataFrame, keys: list[str], signal: str, support: str, bud
 
 def group_points(points: DataFrame, group: list[str], entity: str, event: str, value: str = "points") -> DataFrame:
     """Points of each entity in a group of events, divided by the number of the group's events; with ranks."""
+    points = materialize(points, "group-points")
     events = points.groupBy(*group).agg(F.count_distinct(event).alias("events"))
     total = points.groupBy(*group, entity).agg(F.sum(value).alias("total"), F.count_distinct(event).alias("scored_events"))
-    out = total.join(events, group).withColumn("group_points", F.col("total") / F.col("events"))
+    out = null_safe_join(total, events, group).withColumn("group_points", F.col("total") / F.col("events"))
     return out.withColumn("group_rank", F.rank().over(W.partitionBy(*group).orderBy(F.round("group_points", 6).desc())).cast("long"))
 
 
 def model_grid(df: DataFrame, keys: list[str], entity: str, signal: str, support: str, ks: tuple[float, ...] = (0, 50, 100, 191, 300, 500), caps: tuple[float, ...] = (0.5, 1.0, 1.5, 1e18)) -> DataFrame:
-    """Entity totals under every pair of reliability constant and cap of the negative pool."""
-    grid = F.array(*(F.struct(F.lit(float(k)).alias("k"), F.lit(float(c)).alias("cap")) for k in ks for c in caps))
-    x = df.withColumn("__g", F.explode(grid)).withColumn("grid_k", F.col("__g.k")).withColumn("grid_cap", F.col("__g.cap")).drop("__g")
-    reliability = F.when(F.col("grid_k") == 0, 1.0).otherwise(F.sqrt(F.col(support) / (F.col(support) + F.col("grid_k"))))
-    x = x.withColumn("weighted", F.col(signal) * reliability)
+    """Entity totals under every pair of reliability constant and cap of the negative pool.
+
+    Rows are aggregated once with two sums for each constant; only the aggregate is dealt to the grid.
+    """
+
+    def weighted(k: float) -> Column:
+        return F.col(signal) * (F.sqrt(F.col(support) / (F.col(support) + float(k))) if k else F.lit(1.0))
+
+    sums = [f(pick(weighted(k), F.lit(0.0))).alias(f"__{n}_{i}") for i, k in enumerate(ks) for n, f, pick in (("up", F.sum, F.greatest), ("down", F.sum, F.least))]
+    cell = df.groupBy(*keys, entity).agg(*sums)
+    grid = F.array(*(F.struct(F.lit(float(k)).alias("k"), F.lit(float(c)).alias("cap"), F.col(f"__up_{i}").alias("up"), F.col(f"__down_{i}").alias("down")) for i, k in enumerate(ks) for c in caps))
+    cell = cell.select(*keys, entity, F.explode(grid).alias("g")).select(*keys, entity, F.col("g.k").alias("grid_k"), F.col("g.cap").alias("grid_cap"), "g.up", "g.down")
     g = [*keys, "grid_k", "grid_cap"]
-    cell = x.groupBy(*g, entity).agg(F.sum(F.greatest("weighted", F.lit(0.0))).alias("up"), F.sum(F.least("weighted", F.lit(0.0))).alias("down"))
     w = W.partitionBy(*g)
     cell = cell.withColumn("pu", F.sum("up").over(w)).withColumn("pd", -F.sum("down").over(w))
     pool = BUDGET * F.least(F.col("pd") / F.nullif(F.col("pu"), F.lit(0.0)), F.col("grid_cap"))
@@ -81,7 +88,8 @@ def model_grid(df: DataFrame, keys: list[str], entity: str, signal: str, support
 
 def decile_slopes(df: DataFrame, control: str, x: str, y: str, tie: str, groups: int = 10, min_rows: int = 30, min_range: float = 10.0) -> DataFrame:
     """Slope of y on x within equal-sized groups of a control, where there are rows and spread enough."""
-    g = df.withColumn("decile", F.ntile(groups).over(W.orderBy(F.col(control), F.col(tie))))
+    ranked = global_rank(df, [F.col(control), F.col(tie)], "__rank")
+    g = ranked.withColumn("decile", ntile_of(F.col("__rank"), ranked.count(), groups))
     return g.groupBy("decile").agg(F.count("*").alias("n"), (F.max(x) - F.min(x)).alias("x_range"), F.regr_slope(F.col(y), F.col(x)).alias("slope")).where((F.col("n") >= min_rows) & (F.col("x_range") >= min_range))
 
 

@@ -7,20 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from upslope.functions.exprs import safe_corr
+from upslope.operators.joins import null_safe_join
+from upslope.operators.ordering import exact_quantiles, global_rank
 from upslope.scratch import materialize
 
 
 def round_robin_folds(df: DataFrame, entity: str, folds: int = 5) -> DataFrame:
     """(entity, n, fold): entities by size, largest first, dealt to the folds in turn."""
     sizes = df.groupBy(entity).agg(F.count("*").alias("n"))
-    order = F.row_number().over(W.orderBy(F.col("n").desc(), F.col(entity)))
-    return sizes.withColumn("fold", (1 + (order - 1) % folds).cast("int"))
+    ranked = global_rank(sizes, [F.col("n").desc(), F.col(entity)], "__rank")
+    return ranked.withColumn("fold", (1 + (F.col("__rank") - 1) % folds).cast("int")).drop("__rank")
 
 
 def winsor_caps(train: DataFrame, keys: list[str], value: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """Exact quantile caps per key."""
+    """Exact quantile caps per key; without keys the rows are ranked by ranges, with keys a key's distinct values are held by one task."""
+    if not keys:
+        found = exact_quantiles(train, value, [low, high])
+        return train.sparkSession.createDataFrame([tuple(found)], "cap_low double, cap_high double")
     q = [F.percentile(value, F.lit(p)).alias(n) for p, n in ((low, "cap_low"), (high, "cap_high"))]
-    return train.groupBy(*keys).agg(*q) if keys else train.agg(*q)
+    return train.groupBy(*keys).agg(*q)
 
 
 def clip(value: Column | str, low: Column | str, high: Column | str) -> Column:
@@ -34,18 +39,18 @@ def crossfit_mean(df: DataFrame, fold: str, value: str, levels: list[list[str]],
     ``levels`` go from coarse to fine, each with its weight in ``shrink``; the parent of
     the first is the overall mean.  Means and counts leave a fold out by
     subtraction: totals minus the fold's own, so each level is aggregated once.
-    The input is written once and read by every level.
+    The input is written once and read by every level.  Null keys are keys like any other.
     """
     df = materialize(df, "crossfit")
     total = df.groupBy(fold).agg(F.sum(value).alias("fs"), F.count(value).alias("fn"))
     everything = W.partitionBy(F.lit(1))
     total = total.withColumn("s", F.sum("fs").over(everything) - F.col("fs")).withColumn("n", F.sum("fn").over(everything) - F.col("fn"))
-    out = df.join(F.broadcast(total.select(fold, (F.col("s") / F.nullif(F.col("n"), F.lit(0))).alias("expected")).limit(folds)), fold)
+    out = null_safe_join(df, F.broadcast(total.select(fold, (F.col("s") / F.nullif(F.col("n"), F.lit(0))).alias("expected")).limit(folds + 1)), [fold])
     for keys, k in zip(levels, shrink, strict=True):
         own = df.groupBy(*keys, fold).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("fs"), F.count(value).alias("fn"))
         w = W.partitionBy(*keys)
         own = own.select(*keys, fold, (F.sum("fs").over(w) - F.col("fs")).alias("__s"), (F.sum("fn").over(w) - F.col("fn")).alias("__n"))
-        out = out.join(own, [*keys, fold])
+        out = null_safe_join(out, own, [*keys, fold])
         out = out.withColumn("expected", (F.col("__s") + k * F.col("expected")) / (F.col("__n") + k)).withColumn("support", F.col("__n")).drop("__s", "__n")
     return out
 
@@ -151,7 +156,7 @@ def rank_stability(ranks: DataFrame, variant: str, reference: str, entity: str,
 def mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median and median absolute deviation per key."""
     medians = df.groupBy(*keys).agg(F.median(value).alias("median"))
-    return df.join(medians, keys).groupBy(*keys).agg(F.max("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    return null_safe_join(df, medians, keys).groupBy(*keys).agg(F.max("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
 
 
 def concentration(df: DataFrame, keys: list[str], amount: str, tie: str, top: int = 5) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from upslope.operators.joins import null_safe_join
+
 from upslope.functions.exprs import rank_strength
 from upslope.operators.windows import calendar_window, previous_period
 
@@ -82,7 +84,7 @@ def peer_context(df: DataFrame, scope: list[str], peer: str, entity: str, value:
     """Median of all and of the peers, differences to both and dense ranks in both."""
     everyone = df.groupBy(*scope).agg(F.median(value).alias("all_median"))
     peers = df.groupBy(*scope, peer).agg(F.median(value).alias("peer_median"), F.count(value).alias("peers"))
-    out = df.join(everyone, scope).join(peers, [*scope, peer])
+    out = null_safe_join(null_safe_join(df, everyone, scope), peers, [*scope, peer])
     out = out.withColumn("all_difference", F.col(value) - F.col("all_median")).withColumn("peer_difference", F.col(value) - F.col("peer_median"))
     order = F.round(value, 9).desc_nulls_last()
     return out.withColumn("all_rank", F.dense_rank().over(W.partitionBy(*scope).orderBy(order)).cast("long")).withColumn("peer_rank", F.dense_rank().over(W.partitionBy(*scope, peer).orderBy(order)).cast("long"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from upslope.functions import exprs, marks, text
 from upslope.operators import checks, identity, windows
 from upslope.plans._base import PERF, performances, rounded, table, with_
-from upslope.scratch import new_path
+from upslope.scratch import materialize, new_path
 from upslope.sources import catalog, csvfiles, pages
 from upslope.streaming import ingest
 
@@ -40,7 +40,7 @@ def _(spark, sf):
 
 SIGS = """sig AS (SELECT DISTINCT o_custkey AS p, o_orderpriority || c_mktsegment AS nm, c_nationkey AS g, md5(concat_ws('|', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), o_orderstatus)) AS s FROM orders JOIN customer ON o_custkey = c_custkey),
 sizes AS (SELECT p, count(DISTINCT s) AS size, min(g) AS g FROM sig GROUP BY p),
-rare AS (SELECT nm, s FROM sig GROUP BY ALL HAVING count(DISTINCT p) BETWEEN 2 AND 20), held AS (SELECT DISTINCT nm, s, p FROM sig JOIN rare USING (nm, s)),
+rare AS (SELECT nm, s FROM sig GROUP BY ALL HAVING count(DISTINCT p) > 1), held AS (SELECT DISTINCT nm, s, p FROM sig JOIN rare USING (nm, s)),
 pairs AS (SELECT a.p AS l, b.p AS r, count(DISTINCT a.s) AS shared FROM held a JOIN held b ON a.nm = b.nm AND a.s = b.s AND a.p < b.p GROUP BY ALL)"""
 
 
@@ -73,20 +73,20 @@ def _(spark, sf):
     return identity.by_precedence([s, table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("v"))], "k", "v")
 
 
-REPEATS = "rep AS (SELECT o_orderkey % 5000 AS k, o_orderpriority AS x, o_totalprice > 200000 AS flag, o_orderstatus AS st FROM orders WHERE o_orderstatus = 'O')"
+REPEATS = "rep AS (SELECT o_orderkey % 5000 AS k, o_orderpriority AS x, o_totalprice > 200000 AS flag, o_orderstatus AS st FROM orders)"
 
 
 def repeats(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderstatus = 'O'")
+    o = table(spark, sf, "orders")
     return o.select((F.col("o_orderkey") % 5000).alias("k"), F.col("o_orderpriority").alias("x"), (F.col("o_totalprice") > 200000).alias("flag"), F.col("o_orderstatus").alias("st"))
 
 
-@add("id_collapse_repeats", f"WITH {REPEATS} SELECT k, min(x) AS x, min(st) AS st, bool_or(flag) AS flag, count(*) AS copies FROM rep GROUP BY k HAVING count(DISTINCT x) = 1")
+@add("id_collapse_repeats", f"WITH {REPEATS} SELECT k, min(x) AS x, min(st) AS st, bool_or(flag) AS flag, count(*) AS copies FROM rep GROUP BY k HAVING count(DISTINCT (x, st)) = 1")
 def _(spark, sf):
     return identity.collapse_repeats(repeats(spark, sf), "k", "flag", ["x"])[0]
 
 
-@add("id_collapse_conflicts", f"WITH {REPEATS} SELECT k, count(DISTINCT x) AS variants FROM rep GROUP BY k HAVING count(DISTINCT x) > 1")
+@add("id_collapse_conflicts", f"WITH {REPEATS} SELECT k, count(DISTINCT (x, st)) AS variants FROM rep GROUP BY k HAVING count(DISTINCT (x, st)) > 1")
 def _(spark, sf):
     return identity.collapse_repeats(repeats(spark, sf), "k", "flag", ["x"])[1]
 
@@ -97,9 +97,9 @@ def _(spark, sf):
 
 
 @add("id_evidence_class", """SELECT k, count(DISTINCT t) AS teams, count(DISTINCT s) AS schools, min(t) AS team, string_agg(DISTINCT s, '|' ORDER BY s) AS school_list, CASE WHEN count(DISTINCT t) = 0 AND count(DISTINCT s) = 0 THEN 'none' WHEN count(DISTINCT t) = 1 THEN 'consistent_team' WHEN count(DISTINCT s) = 1 THEN 'consistent_school_multiple_teams' ELSE 'mixed' END AS evidence
-  FROM (SELECT o_custkey % 400 AS k, nullif(trim(CASE WHEN o_orderpriority LIKE '1%' THEN ' ' ELSE substr(o_orderpriority, 1, 1) END), '') AS t, nullif(o_orderstatus, 'P') AS s FROM orders WHERE o_orderkey % 9 = 0) GROUP BY k""")
+  FROM (SELECT o_custkey % 400 AS k, nullif(trim(CASE WHEN o_orderpriority LIKE '1%' THEN ' ' ELSE substr(o_orderpriority, 1, 1) END), '') AS t, nullif(o_orderstatus, 'P') AS s FROM orders) GROUP BY k""")
 def _(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 9 = 0")
+    o = table(spark, sf, "orders")
     x = o.select((F.col("o_custkey") % 400).alias("k"), F.when(F.col("o_orderpriority").startswith("1"), " ").otherwise(F.substring("o_orderpriority", 1, 1)).alias("t"), F.nullif("o_orderstatus", F.lit("P")).alias("s"))
     return identity.evidence_class(x, ["k"], "t", "s")
 
@@ -110,22 +110,42 @@ def _(spark, sf):
     return identity.overlay(c, c.where("c_custkey % 10 = 0").withColumn("c_mktsegment", F.lit("REVIEWED")), "c_custkey", ["c_mktsegment"])
 
 
-@add("id_name_match", "SELECT n_name, min(entity) AS entity FROM (SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'team-' ELSE 'school-' END || n_nationkey AS entity FROM nation) GROUP BY 1")
+@add("id_name_match", """WITH n AS (SELECT n_name, n_nationkey AS i, regexp_replace(strip_accents(lower(replace(translate(n_name, 'AEIOUC', 'ÁÈÎÕÜÇ') || ' & Co²', '&', ' and '))), '[^a-z0-9]', '', 'g') || '2' AS key FROM nation),
+  r AS (SELECT regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') || 'andco2' AS key, p, ['team', 'school', 'alias', 'entity'][p + 1] || '-' || n_nationkey AS entity FROM nation CROSS JOIN range(4) t(p) WHERE n_nationkey % 4 <= p)
+  SELECT n_name, entity FROM (SELECT n_name, entity, row_number() OVER (PARTITION BY n_name ORDER BY p) AS k FROM n JOIN r USING (key)) WHERE k = 1""")
 def _(spark, sf):
-    n = table(spark, sf, "nation").select("n_name", text.name_key(F.col("n_name")).alias("key"), F.lit(None).cast("string").alias("g"))
-    team = table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(text.name_key(F.lower("n_name")).alias("key"), F.lit(None).cast("string").alias("g"), F.concat(F.lit("team-"), "n_nationkey").alias("entity"))
-    school = table(spark, sf, "nation").select(text.name_key(F.concat(F.lit(" "), "n_name", F.lit("."))).alias("key"), F.lit(None).cast("string").alias("g"), F.concat(F.lit("school-"), "n_nationkey").alias("entity"))
-    return identity.match_names(n, [team, school], "key", "g", "entity").select("n_name", "entity")
+    none = F.lit(None).cast("string").alias("g")
+    marked = F.concat(F.translate("n_name", "AEIOUC", "ÁÈÎÕÜÇ"), F.lit(" & Co²"))
+    n = table(spark, sf, "nation").select("n_name", text.name_key(marked).alias("key"), none)
+    spelled = F.concat(F.lit(" "), F.lower("n_name"), F.lit(". + CO-2"))
+    registries = [table(spark, sf, "nation").where(F.col("n_nationkey") % 4 <= p).select(text.name_key(spelled).alias("key"), none, F.concat(F.lit(f"{kind}-"), "n_nationkey").alias("entity")) for p, kind in enumerate(("team", "school", "alias", "entity"))]
+    return identity.match_names(n, registries, "key", "g", "entity").select("n_name", "entity")
 
 
-@add("parse_marks", """SELECT l_orderkey, l_linenumber, l_partkey, 'parsed' AS state, CASE WHEN l_linenumber = 1 THEN 'ms' WHEN l_linenumber = 2 THEN 'metric' ELSE 'points' END AS kind,
-  CAST(CASE WHEN l_linenumber = 1 THEN l_partkey % 90 * 60 + l_suppkey % 60 + 0.25 WHEN l_linenumber = 2 THEN l_partkey % 90 + 0.5 ELSE l_partkey END AS DOUBLE) AS value FROM lineitem WHERE l_linenumber <= 3""")
+_CODES = ", ".join(f"'{c}'" for c in marks.STATUS_CODES)
+
+
+@add("parse_marks", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, state, kind, CAST(round(value, 4) AS DOUBLE) AS value, annotated FROM (SELECT *,
+    CASE WHEN f IN (11, 12, 13) THEN 'unrecognized' WHEN f IN (10, 14) THEN 'blank' WHEN f IN (9, 15) THEN 'status' ELSE 'parsed' END AS state,
+    CASE f WHEN 0 THEN 'ms' WHEN 1 THEN 'metric' WHEN 2 THEN 'points' WHEN 3 THEN 'metric' WHEN 4 THEN 'imperial' WHEN 5 THEN 'imperial' WHEN 6 THEN 'hms' WHEN 7 THEN 's' WHEN 8 THEN 'ms' WHEN 9 THEN [{_CODES}][l_partkey % {len(marks.STATUS_CODES)} + 1] WHEN 15 THEN 'DSQ' END AS kind,
+    CASE f WHEN 0 THEN p * 60 + s + 0.25 WHEN 1 THEN p + 0.5 WHEN 2 THEN l_partkey WHEN 3 THEN p + 0.45 WHEN 4 THEN (p * 12 + 6) * 0.0254 WHEN 5 THEN (p * 12 + 6.5) * 0.0254 WHEN 6 THEN 3900 + s + 0.5 WHEN 7 THEN s + 0.1 WHEN 8 THEN p * 60 + s END AS value,
+    f IN (7, 8) AS annotated FROM (SELECT *, (l_orderkey + l_linenumber) % 16 AS f, l_partkey % 90 AS p, l_suppkey % 60 AS s FROM lineitem))""")
 def _(spark, sf):
-    n, p, s = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
-    kind = F.when(n == 1, "time").when(n == 2, "distance").otherwise("points")
-    raw = F.when(n == 1, F.concat((p % 90).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"), F.lit(".25 "))).when(n == 2, F.concat((p % 90).cast("string"), F.lit(".50m"))).otherwise(p.cast("string"))
-    x = table(spark, sf, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_partkey", marks.parse_mark(kind, raw).alias("m"))
-    return x.select("l_orderkey", "l_linenumber", "l_partkey", "m.state", "m.kind", "m.value")
+    f, p, s = (F.col("l_orderkey") + F.col("l_linenumber")) % 16, (F.col("l_partkey") % 90).cast("string"), F.col("l_suppkey") % 60
+    two, one = F.lpad(s.cast("string"), 2, "0"), s.cast("string")
+    code = F.get(F.array(*map(F.lit, marks.STATUS_CODES)), (F.col("l_partkey") % len(marks.STATUS_CODES)).cast("int"))
+    forms = [
+        ("time", F.concat(F.lit(" "), p, F.lit(":"), two, F.lit(".25 "))), ("distance", F.concat(p, F.lit(".50m"))), ("points", F.concat(F.col("l_partkey").cast("string"), F.lit(" pts"))), ("distance", F.concat(p, F.lit(".45"))),
+        ("distance", F.concat(p, F.lit("\u2019 6\u2033"))), ("distance", F.concat(p, F.lit("\u201306.50"))), ("time", F.concat(F.lit("1:05:"), two, F.lit(".5"))), ("time", F.concat(one, F.lit(".1h"))),
+        ("time", F.concat(p, F.lit(":"), two, F.lit(".00 (A)#"))), ("time", F.concat(F.lit(" "), F.lower(code))), ("time", F.lit(" \u00a0 ")), ("time", F.lit("abc")),
+        ("distance", F.concat(p, F.lit("' 13"))), ("time", F.concat(p, F.lit(":75.0"))), ("time", F.lit(None).cast("string")), ("distance", F.lit("d s q.")),
+    ]
+    kind, raw = F.lit("points"), F.lit("0")
+    for i, (k, text_) in enumerate(forms):
+        kind, raw = F.when(f == i, k).otherwise(kind), F.when(f == i, text_).otherwise(raw)
+    x = materialize(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", kind.alias("mark_type"), raw.alias("mark")), "marks")
+    x = x.withColumn("m", marks.parse_mark(F.col("mark_type"), F.col("mark")))
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "m.state", "m.kind", F.round("m.value", 4).alias("value"), "m.annotated")
 
 
 @add("parse_marks_once", with_(PERF, "SELECT event, count(*) AS n, avg(floor(value) + 0.5) AS mean FROM perf GROUP BY event", doubles="mean"))
@@ -226,7 +246,7 @@ def _catalog(spark):
 @add("pub_publish_and_read", "SELECT o_custkey, o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders WHERE year(o_orderdate) = 1997")
 def _(spark, sf):
     c, o = _catalog(spark), table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("y"))
-    c.publish("core", "orders", o, checks.check_constraints(o, [checks.not_null("o_orderkey")]), ["y"])
+    c.publish("core", "orders", o, lambda written: checks.check_constraints(written, [checks.not_null("o_orderkey")]), ["y"])
     return c.read("core", "orders", y=1997)
 
 

@@ -52,10 +52,10 @@ BUDGETED = SCOPES + """,
 budgeted AS (SELECT *, signal * 100000 / nullif(sum(greatest(signal, 0)) OVER (PARTITION BY time_scope, scope_year, scope_season, gender, event), 0) AS points FROM scoped)"""
 
 
-@add("pts_event_budget", with_(BUDGETED, "SELECT time_scope, scope_year, scope_season, event, person, season_year, points FROM budgeted WHERE time_scope <> 'all_time'", doubles="points"))
+@add("pts_event_budget", with_(BUDGETED, "SELECT time_scope, scope_year, scope_season, event, person, season_year, points FROM budgeted", doubles="points"))
 def _(spark, sf):
     p = points.allocate_budget(scoped(spark, sf), PART, "signal")
-    return p.where("time_scope <> 'all_time'").select("time_scope", "scope_year", "scope_season", "event", "person", "season_year", "points")
+    return p.select("time_scope", "scope_year", "scope_season", "event", "person", "season_year", "points")
 
 
 @add("pts_budget_audit", with_(BUDGETED, "SELECT time_scope, count(DISTINCT (scope_year, scope_season, gender, event)) AS partitions, round(max(s), 2) AS most, round(min(s), 2) AS least FROM (SELECT time_scope, scope_year, scope_season, gender, event, sum(greatest(points, 0)) AS s FROM budgeted GROUP BY ALL) GROUP BY 1"))
@@ -93,12 +93,12 @@ def _(spark, sf):
     return stats.concentration(c, ["school"], "amount", "person")
 
 
-@add("pts_model_grid", with_(SCOPES, """, g AS (SELECT sig.*, k, cap, signal * CASE WHEN k = 0 THEN 1 ELSE sqrt(support / (support + k)) END AS weighted FROM sig CROSS JOIN (VALUES (0.0), (50.0), (191.0)) a(k) CROSS JOIN (VALUES (0.5), (1.0)) b(cap)),
+@add("pts_model_grid", with_(SCOPES, """, g AS (SELECT sig.*, k, cap, signal * CASE WHEN k = 0 THEN 1 ELSE sqrt(support / (support + k)) END AS weighted FROM sig CROSS JOIN (VALUES (0.0), (50.0), (100.0), (191.0), (300.0), (500.0)) a(k) CROSS JOIN (VALUES (0.5::DOUBLE), (1.0), (1.5), (1e18)) b(cap)),
     c AS (SELECT event, k, cap, school, sum(greatest(weighted, 0)) AS up, sum(least(weighted, 0)) AS down FROM g GROUP BY ALL), t AS (SELECT *, sum(up) OVER p AS pu, -sum(down) OVER p AS pd FROM c WINDOW p AS (PARTITION BY event, k, cap)),
     x AS (SELECT k AS grid_k, cap AS grid_cap, school, sum(up * 100000 / pu + down * 100000 * least(pd / pu, cap) / pd) AS points FROM t GROUP BY ALL)
     SELECT CAST(grid_k AS DOUBLE) AS grid_k, CAST(grid_cap AS DOUBLE) AS grid_cap, school, points, row_number() OVER (PARTITION BY grid_k, grid_cap ORDER BY round(points, 6) DESC, school) AS rank FROM x""", doubles="points"))
 def _(spark, sf):
-    return points.model_grid(signals(spark, sf), ["event"], "school", "signal", "support", (0, 50, 191), (0.5, 1.0))
+    return points.model_grid(signals(spark, sf), ["event"], "school", "signal", "support")
 
 
 @add("pts_matched_deciles", with_(TRAJ, """SELECT decile, count(*) AS n, max(baseline) - min(baseline) AS x_range, regr_slope(improvement, baseline) AS slope FROM (SELECT *, ntile(10) OVER (ORDER BY elapsed, person, event) AS decile FROM traj) GROUP BY decile HAVING count(*) >= 30 AND max(baseline) - min(baseline) >= 10""", doubles="x_range slope"))
@@ -170,17 +170,17 @@ def _(spark, sf):
 
 
 @add("trend_trajectory_classes", with_(SEASON, f""", w5 AS ({WINDOW_SQL.format(w=5)}), w3 AS ({WINDOW_SQL.format(w=3)}),
-    t AS (SELECT w5.school, w5.gender, round(w5.mean, 6) AS mean, round(w5.slope, 6) AS slope, round(w5.sd, 6) AS sd, round(w3.slope, 6) AS short FROM w5 JOIN w3 USING (school, gender, season_year) WHERE season_year = 2000),
-    p AS (SELECT *, CASE WHEN mean IS NOT NULL THEN percent_rank() OVER (PARTITION BY gender ORDER BY mean NULLS LAST) END AS level_pct, CASE WHEN slope IS NOT NULL THEN percent_rank() OVER (PARTITION BY gender ORDER BY slope NULLS LAST) END AS slope_pct,
-      CASE WHEN sd IS NOT NULL THEN percent_rank() OVER (PARTITION BY gender ORDER BY sd DESC NULLS LAST) END AS steady_pct FROM t)
-    SELECT school, gender, level_pct, slope_pct, steady_pct, CASE WHEN slope IS NULL OR short IS NULL THEN 'unknown' WHEN slope > 0 AND short > 0 THEN 'rising' WHEN slope < 0 AND short < 0 THEN 'falling' WHEN slope < 0 AND short > 0 THEN 'recovering' WHEN slope > 0 AND short < 0 THEN 'cooling' ELSE 'flat' END AS direction,
+    t AS (SELECT w5.school, w5.gender, season_year, round(w5.mean, 6) AS mean, round(w5.slope, 6) AS slope, round(w5.sd, 6) AS sd, round(w3.slope, 6) AS short FROM w5 JOIN w3 USING (school, gender, season_year)),
+    p AS (SELECT *, CASE WHEN mean IS NOT NULL THEN percent_rank() OVER (PARTITION BY gender, season_year ORDER BY mean NULLS LAST) END AS level_pct, CASE WHEN slope IS NOT NULL THEN percent_rank() OVER (PARTITION BY gender, season_year ORDER BY slope NULLS LAST) END AS slope_pct,
+      CASE WHEN sd IS NOT NULL THEN percent_rank() OVER (PARTITION BY gender, season_year ORDER BY sd DESC NULLS LAST) END AS steady_pct FROM t)
+    SELECT school, gender, season_year, level_pct, slope_pct, steady_pct, CASE WHEN slope IS NULL OR short IS NULL THEN 'unknown' WHEN slope > 0 AND short > 0 THEN 'rising' WHEN slope < 0 AND short < 0 THEN 'falling' WHEN slope < 0 AND short > 0 THEN 'recovering' WHEN slope > 0 AND short < 0 THEN 'cooling' ELSE 'flat' END AS direction,
       CASE WHEN level_pct >= 0.75 THEN 'first' WHEN level_pct >= 0.5 THEN 'second' WHEN level_pct >= 0.25 THEN 'third' WHEN level_pct IS NOT NULL THEN 'fourth' END AS level_tier FROM p""", doubles="level_pct slope_pct steady_pct"))
 def _(spark, sf):
     s = season(spark, sf)
-    long = trends.window_trend(s, ["school", "gender"], "season_year", "value", 5).where("season_year = 2000")
-    short = trends.window_trend(s, ["school", "gender"], "season_year", "value", 3).where("season_year = 2000").select("school", "gender", F.round("slope", 6).alias("short"))
-    t = long.select("school", "gender", F.round("mean", 6).alias("mean"), F.round("slope", 6).alias("slope"), F.round("sd", 6).alias("sd")).join(short, ["school", "gender"])
-    return trends.trajectory_classes(t, ["gender"], "mean", "slope", "sd", "short").select("school", "gender", "level_pct", "slope_pct", "steady_pct", "direction", "level_tier")
+    long = trends.window_trend(s, ["school", "gender"], "season_year", "value", 5)
+    short = trends.window_trend(s, ["school", "gender"], "season_year", "value", 3).select("school", "gender", "season_year", F.round("slope", 6).alias("short"))
+    t = long.select("school", "gender", "season_year", F.round("mean", 6).alias("mean"), F.round("slope", 6).alias("slope"), F.round("sd", 6).alias("sd")).join(short, ["school", "gender", "season_year"])
+    return trends.trajectory_classes(t, ["gender", "season_year"], "mean", "slope", "sd", "short").select("school", "gender", "season_year", "level_pct", "slope_pct", "steady_pct", "direction", "level_tier")
 
 
 @add("trend_peer_context", with_(SEASON, """, p AS (SELECT *, school % 4 AS peer FROM season WHERE value IS NOT NULL)

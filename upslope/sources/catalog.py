@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,22 +33,34 @@ class Catalog:
         for n in names:
             self.read(layer, n).createOrReplaceTempView(n)
 
-    def publish(self, layer: str, name: str, df: DataFrame, checks: DataFrame | None = None, partition_by: list[str] | None = None) -> DataFrame:
-        """Write to a staging folder, check it, then rename it over the table; a failed check leaves the old table."""
-        if checks is not None:
-            gate(checks)
-        staging = self.path("_staging", f"{layer}-{name}")
-        df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(staging)
-        written = self.spark.read.parquet(staging)
-        if written.columns and set(written.columns) != set(df.columns):
-            raise ValueError(f"{layer}.{name} lost columns")
+    def publish(self, layer: str, name: str, df: DataFrame, checks: DataFrame | Callable[[DataFrame], DataFrame] | None = None, partition_by: list[str] | None = None) -> DataFrame:
+        """Write to a staging folder of its own, check what was written, then put it in the table's place.
+
+        ``checks`` is a table of checks, or makes one of the written table.  The old table is moved aside and removed only when the new one is in place; after a failed
+        check or rename the old table is as it was.
+        """
+        staging, aside = (self.path("_staging", f"{layer}-{name}-{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (staging, self.path(layer, name)))
+        source, target, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (staging, self.path(layer, name), aside))
         fs = target.getFileSystem(conf)
-        fs.mkdirs(target.getParent())
-        fs.delete(target, True)
-        if not fs.rename(source, target):
-            raise OSError(f"could not publish {layer}.{name}")
+        try:
+            df.write.partitionBy(*(partition_by or [])).parquet(staging)
+            written = self.spark.read.parquet(staging)
+            if written.columns and set(written.columns) != set(df.columns):
+                raise ValueError(f"{layer}.{name} lost columns")
+            if checks is not None:
+                gate(checks if isinstance(checks, DataFrame) else checks(written))
+            fs.mkdirs(target.getParent())
+            had = fs.exists(target)
+            if had and not fs.rename(target, old):
+                raise OSError(f"could not move {layer}.{name} aside")
+            if not fs.rename(source, target):
+                if had:
+                    fs.rename(old, target)
+                raise OSError(f"could not publish {layer}.{name}")
+        finally:
+            fs.delete(source, True)
+        fs.delete(old, True)
         return self.read(layer, name)
 
     def append(self, layer: str, name: str, df: DataFrame) -> None:
