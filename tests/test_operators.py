@@ -201,3 +201,16 @@ def test_failed_publication_keeps_the_old_table(spark):
             c.publish("core", "t", bad, check)
     assert c.read("core", "t").count() == 5 and c.read("core", "t").where("a is null").count() == 0
     assert c.publish("core", "t", good.union(good)).count() == 10
+
+
+def test_reader_refuses_unknown_layers_and_resources(spark):
+    from upslope.scratch import new_path
+    from upslope.sources.catalog import Catalog
+
+    c = Catalog(spark, new_path(spark, "catalog"), ("official",), {"a/b.csv": ("official", "t")})
+    c.publish("official", "t", spark.range(3))
+    assert c.read_resource("a/./b.csv").count() == 3
+    with pytest.raises(ValueError):
+        c.read("private", "t")
+    with pytest.raises(KeyError):
+        c.read_resource("a/c.csv")

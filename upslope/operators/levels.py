@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from upslope.operators.joins import null_safe_join
-
 from upslope.functions.exprs import arg_max, arg_min
+from upslope.operators.joins import null_safe_join
 
 
 def performance_level(value: Column, anchor: Column, lower_is_better: Column, tolerance: float = 0.0) -> Column:
@@ -126,6 +125,59 @@ def exceedance_class(value: Column, anchor: Column, wind: Column, tolerance: flo
     return F.when(~(over > 0) | over.isNull(), "none").when(wind > legal_wind, "wind_aided").when(over <= tolerance, "tolerance").when(over <= anomaly, "anomaly").otherwise("quarantine")
 
 
+#: Ratios to the anchor up to which a mark is rounding, plausible, material, major; beyond the last it is an error.
+EXCEEDANCE_RATIOS = (1.0005, 1.015, 1.03, 1.05)
+
+
+def exceedance_review(ratio: Column, family: Column, wind_sensitive: Column, wind_suspected: Column) -> Column:
+    """Struct (severity, finding, action) of a mark whose ratio to its anchor is above 1; null below.
+
+    Wind-sensitive events are judged by their wind unless the ratio alone shows an error; ``family``
+    (time, field or other) says what kind of error is likely.  Only rounding stays eligible, all else is quarantined.
+    """
+    rounding, plausible, material, error = EXCEEDANCE_RATIOS
+
+    def found(severity: str, finding: Column | str) -> Column:
+        finding = F.lit(finding) if isinstance(finding, str) else finding
+        return F.struct(F.lit(severity).alias("severity"), finding.alias("finding"), F.lit("capped" if severity == "low" else "quarantine").alias("action"))
+
+    kind = F.when(family == "time", "wrong distance, unit or time").when(family == "field", "wrong unit or mark").otherwise("wrong event or mark")
+    wind = F.when(F.coalesce(wind_suspected, F.lit(False)), "wind aided").otherwise("wind unverified")
+    return (
+        F.when(~(ratio > 1) | ratio.isNull(), F.lit(None))
+        .when(ratio <= rounding, found("low", "rounding"))
+        .when(ratio >= error, found("critical", kind))
+        .when(F.coalesce(wind_sensitive, F.lit(False)), found("high", wind))
+        .when(ratio >= material, found("high", "major exceedance"))
+        .when(ratio >= plausible, found("medium_high", "material exceedance"))
+        .otherwise(found("medium", "record or scope difference"))
+    )
+
+
+def anchor_scope(df: DataFrame, season: str, gender: str, event: str, compatible: dict[str, tuple[str, ...]], only: dict[str, tuple[str, ...]], combined: dict[tuple[str, str], tuple[str, ...]], min_rows: int = 5000) -> DataFrame:
+    """(season, gender, event, n, scope): which cells of an anchor table may score.
+
+    ``combined`` lists the combined events held for a (season, gender), ``only`` the events of one gender,
+    ``compatible`` the events of a season.  A cell is excluded by the first of these it breaks,
+    exploratory below ``min_rows`` rows and primary otherwise; null seasons and genders fit nothing that is listed.
+    """
+    cells = df.groupBy(season, gender, event).agg(F.count("*").alias("n"))
+    s, g, e = F.coalesce(season, F.lit("")), F.coalesce(gender, F.lit("")), F.col(event)
+
+    def any_of(hits: list[Column]) -> Column:
+        out = F.lit(False)
+        for h in hits:
+            out = out | h
+        return out
+
+    held = any_of([(s == a) & (g == b) & e.isin(*events) for (a, b), events in combined.items()])
+    is_combined = e.isin(*{x for events in combined.values() for x in events}) if combined else F.lit(False)
+    foreign = any_of([(g != who) & e.isin(*events) for who, events in only.items()])
+    fits = any_of([(s == when) & e.isin(*events) for when, events in compatible.items()])
+    rules = [("excluded_combined", is_combined & ~held), ("excluded_gender", foreign), ("excluded_season", ~F.coalesce(fits, F.lit(False))), ("exploratory", F.col("n") < min_rows)]
+    return cells.withColumn("scope", first_reason(rules, "primary"))
+
+
 def best_anchor(candidates: DataFrame, keys: list[str], value: str, lower_is_better: str, rejected: Column, pending: str, order: list[str]) -> DataFrame:
     """The best candidate per key that no reason rejects; a pending one wins ties, then the order of the source."""
     good = candidates.where(rejected.isNull())

@@ -63,6 +63,24 @@ def group_points(points: DataFrame, group: list[str], entity: str, event: str, v
     return out.withColumn("group_rank", F.rank().over(W.partitionBy(*group).orderBy(F.round("group_points", 6).desc())).cast("long"))
 
 
+def combine_scopes(grouped: DataFrame, scope: str, group: list[str], entity: str, value: str = "group_points") -> DataFrame:
+    """Points of each entity and group over all values of a scope (such as gender), divided by the number of values the group has."""
+    grouped = materialize(grouped, "scopes")
+    available = grouped.groupBy(*group).agg(F.count_distinct(scope).alias("available"))
+    total = grouped.groupBy(*group, entity).agg(F.sum(value).alias("total"))
+    return null_safe_join(total, available, group).withColumn(value, F.col("total") / F.nullif(F.col("available"), F.lit(0))).drop("total")
+
+
+def overall_points(grouped: DataFrame, scope: list[str], group: str, entity: str, value: str = "group_points", budget: float = BUDGET) -> DataFrame:
+    """Points of each entity over all groups of a scope, their share of what the groups offer together, and ranks."""
+    grouped = materialize(grouped, "overall")
+    offered = grouped.groupBy(*scope).agg(F.count_distinct(group).alias("groups"))
+    total = grouped.groupBy(*scope, entity).agg(F.sum(value).alias("points"), F.count_distinct(group).alias("held_groups"))
+    out = null_safe_join(total, offered, scope).withColumn("share", F.col("points") / (F.col("groups") * budget))
+    order = W.partitionBy(*(scope or [F.lit(1)])).orderBy(F.round("points", 6).desc())
+    return out.withColumn("overall_rank", F.rank().over(order).cast("long"))
+
+
 def model_grid(df: DataFrame, keys: list[str], entity: str, signal: str, support: str, ks: tuple[float, ...] = (0, 50, 100, 191, 300, 500), caps: tuple[float, ...] = (0.5, 1.0, 1.5, 1e18)) -> DataFrame:
     """Entity totals under every pair of reliability constant and cap of the negative pool.
 

@@ -70,18 +70,18 @@ def fit_metrics(observed: str, predicted: str) -> list[Column]:
 
 
 def equal_weights(df: DataFrame, person: list[str], family: str, value: str) -> DataFrame:
-    """Mean of family means per person: every family counts alike, every row within its family."""
+    """Mean and median of family means per person: every family counts alike, every row within its family."""
     families = df.groupBy(*person, family).agg(F.avg(value).alias("m"), F.count("*").alias("n"))
-    return families.groupBy(*person).agg(F.avg("m").alias("contribution"), F.count("*").alias("families"), F.sum("n").alias("n_rows"))
+    return families.groupBy(*person).agg(F.avg("m").alias("contribution"), F.median("m").alias("family_median"), F.count("*").alias("families"), F.sum("n").alias("n_rows"))
 
 
-def eb_rank(units: DataFrame, entity: str, score: str, partition: list[str] | None = None, min_sample: int = 20, prior_df: float = 20.0, z: float = 1.96) -> DataFrame:
+def eb_rank(units: DataFrame, entity: str, score: str, partition: list[str] | None = None, min_sample: int = 20, prior_df: float | Column = 20.0, z: float = 1.96) -> DataFrame:
     """Empirical-Bayes ranking of entity means within each partition.
 
     An entity's variance is drawn to the pooled one with ``prior_df`` degrees of
     freedom; the spread between entities is what the variance of the means exceeds the mean
     squared error by; means shrink to the overall mean by tau^2 / (tau^2 + se^2).
-    Only entities with ``min_sample`` units get an official rank.
+    Only entities with ``min_sample`` units get an official rank.  ``prior_df`` may depend on the partition.
     """
     part = partition or []
     keyed = units if part else units.withColumn("__all", F.lit(1))
@@ -142,6 +142,42 @@ def unit_variants(units: DataFrame, entity: str, score: str) -> DataFrame:
     return out.select(entity, "unit_id", F.col("__v.variant").alias("variant"), F.col("__v.s").alias(score))
 
 
+#: Degrees of freedom of each variant's prior, and the floors of a stable ranking.
+VARIANT_DF = {"primary_df20": 20.0, "primary_df10": 10.0, "primary_df50": 50.0, "winsorized_df20": 20.0, "family_median_df20": 20.0, "exclude_best_df20": 20.0, "exclude_worst_df20": 20.0}
+STABLE = {"rank_corr": 0.90, "top_10_kept": 0.50, "top_25_kept": 0.60, "median_move": 25.0}
+
+
+def sensitivity(units: DataFrame, entity: str, unit: str, score: str, family_median: str, min_sample: int = 30, tops: tuple[int, int] = (10, 25)) -> DataFrame:
+    """How each variant of the empirical-Bayes ranking differs from the primary one, and whether it passes the floors.
+
+    Variants change the prior's degrees of freedom, clip scores at the 5 and 95 percent quantiles, take
+    the median of families, or leave out the best or worst unit of an entity that has several.  Entities
+    with ``min_sample`` units in the primary variant are ranked anew among themselves.
+    """
+    w = W.partitionBy(entity)
+    best, worst = (F.row_number().over(w.orderBy(o, F.col(unit))) for o in (F.col(score).desc(), F.col(score)))
+    units = materialize(units.withColumn("__best", best).withColumn("__worst", worst).withColumn("__n", F.count("*").over(w)), "units")
+    low, high = exact_quantiles(units, score, [0.05, 0.95])
+    single = F.col("__n") == 1
+    picks = {
+        "primary_df20": F.col(score), "primary_df10": F.col(score), "primary_df50": F.col(score), "winsorized_df20": clip(score, F.lit(low), F.lit(high)), "family_median_df20": F.col(family_median),
+        "exclude_best_df20": F.when(single | (F.col("__best") > 1), F.col(score)), "exclude_worst_df20": F.when(single | (F.col("__worst") > 1), F.col(score)),
+    }
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), v.alias("s")) for k, v in picks.items())))
+    v = units.select(entity, rows.alias("v")).select(entity, "v.variant", F.col("v.s").alias("s")).where("s is not null")
+    df = F.lit(20.0)
+    for name, d in VARIANT_DF.items():
+        df = F.when(F.col("variant") == name, d).otherwise(df)
+    ranked = materialize(eb_rank(v, entity, "s", ["variant"], 1, df).select("variant", entity, "n", "posterior"), "variants")
+    official = ranked.where((F.col("variant") == "primary_df20") & (F.col("n") >= min_sample)).select(F.col(entity).alias("__e"))
+    ranked = ranked.join(official, F.col(entity).eqNullSafe(F.col("__e"))).drop("__e")
+    ranked = ranked.withColumn("rk", F.rank().over(W.partitionBy("variant").orderBy(F.round("posterior", 9).desc())).cast("long"))
+    out = rank_stability(ranked, "variant", "primary_df20", entity, "rk", tops)
+    passes = (F.coalesce(F.col("rank_corr") >= STABLE["rank_corr"], F.lit(False)) & (F.col(f"top_{tops[0]}_kept") >= STABLE["top_10_kept"])
+              & (F.col(f"top_{tops[1]}_kept") >= STABLE["top_25_kept"]) & (F.col("median_move") <= STABLE["median_move"]))
+    return out.withColumn("stable", passes)
+
+
 def rank_stability(ranks: DataFrame, variant: str, reference: str, entity: str, rank: str, tops: tuple[int, ...] = (10, 25)) -> DataFrame:
     """Each variant against the reference: rank correlation, mean move and shares of the top kept."""
     ref = ranks.where(F.col(variant) == reference).select(entity, F.col(rank).alias("__ref"))
@@ -150,7 +186,7 @@ def rank_stability(ranks: DataFrame, variant: str, reference: str, entity: str,
         (F.sum(((F.col(rank) <= t) & (F.col("__ref") <= t)).cast("long")) / F.nullif(F.sum((F.col("__ref") <= t).cast("long")).cast("double"), F.lit(0.0))).alias(f"top_{t}_kept")
         for t in tops
     ]
-    return both.groupBy(variant).agg(F.count("*").alias("n"), safe_corr(rank, "__ref").alias("rank_corr"), F.avg(F.abs(F.col(rank) - F.col("__ref"))).alias("mean_move"), *kept)
+    return both.groupBy(variant).agg(F.count("*").alias("n"), safe_corr(rank, "__ref").alias("rank_corr"), F.avg(F.abs(F.col(rank) - F.col("__ref"))).alias("mean_move"), F.median(F.abs(F.col(rank) - F.col("__ref"))).alias("median_move"), *kept)
 
 
 def mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -195,7 +195,7 @@ UNITS = (
     CROSS
     + """,
 fam_mean AS (SELECT person, school, gender, event, avg(improvement - expected) AS m, count(*) AS n FROM cross_fit GROUP BY ALL),
-units AS (SELECT person, school, gender, avg(m) AS contribution, count(*) AS families, CAST(sum(n) AS BIGINT) AS n_rows FROM fam_mean GROUP BY ALL)"""
+units AS (SELECT person, school, gender, avg(m) AS contribution, median(m) AS family_median, count(*) AS families, CAST(sum(n) AS BIGINT) AS n_rows FROM fam_mean GROUP BY ALL)"""
 )
 
 
@@ -204,7 +204,7 @@ def _units(spark, sf):
     return stats.equal_weights(x, ["person", "school", "gender"], "event", "va")
 
 
-@add("dev_equal_weights", with_(UNITS, "SELECT * FROM units", doubles="contribution"))
+@add("dev_equal_weights", with_(UNITS, "SELECT * FROM units", doubles="contribution family_median"))
 def _(spark, sf):
     return _units(spark, sf)
 
@@ -267,10 +267,10 @@ def _(spark, sf):
         v AS (SELECT 'all' AS variant, school, s FROM r UNION ALL SELECT 'winsorized', school, least(greatest(s, a), b) FROM r CROSS JOIN caps
           UNION ALL SELECT 'drop_best', school, s FROM r WHERE hi > 1 UNION ALL SELECT 'drop_worst', school, s FROM r WHERE lo > 1),
         m AS (SELECT variant, school, rank() OVER (PARTITION BY variant ORDER BY round(avg(s), 9) DESC) AS rk FROM v GROUP BY variant, school)
-        SELECT m.variant, count(*) AS n, corr(m.rk, f.rk) AS rank_corr, avg(abs(m.rk - f.rk)) AS mean_move,
+        SELECT m.variant, count(*) AS n, corr(m.rk, f.rk) AS rank_corr, avg(abs(m.rk - f.rk)) AS mean_move, median(abs(m.rk - f.rk)) AS median_move,
           sum(CASE WHEN m.rk <= 5 AND f.rk <= 5 THEN 1 ELSE 0 END) / sum(CASE WHEN f.rk <= 5 THEN 1 ELSE 0 END) AS top_5_kept
         FROM m JOIN m f ON m.school = f.school AND f.variant = 'all' GROUP BY m.variant""",
-        doubles="rank_corr mean_move top_5_kept",
+        doubles="rank_corr mean_move median_move top_5_kept",
     ),
 )
 def _(spark, sf):
@@ -280,6 +280,33 @@ def _(spark, sf):
     return stats.rank_stability(v, "variant", "all", "school", "rk", (5,))
 
 
+_VARIANTS = """, r AS (SELECT *, row_number() OVER (PARTITION BY school ORDER BY contribution DESC, unit_id) AS hi, row_number() OVER (PARTITION BY school ORDER BY contribution, unit_id) AS lo, count(*) OVER (PARTITION BY school) AS c FROM (SELECT *, person || '|' || gender AS unit_id FROM units)),
+    caps AS (SELECT quantile_cont(contribution, 0.05) AS a, quantile_cont(contribution, 0.95) AS b FROM r),
+    v AS (SELECT x AS variant, school, contribution AS s FROM r CROSS JOIN (VALUES ('primary_df20'), ('primary_df10'), ('primary_df50')) t(x) UNION ALL SELECT 'winsorized_df20', school, least(greatest(contribution, a), b) FROM r CROSS JOIN caps
+      UNION ALL SELECT 'family_median_df20', school, family_median FROM r UNION ALL SELECT 'exclude_best_df20', school, contribution FROM r WHERE hi > 1 OR c = 1 UNION ALL SELECT 'exclude_worst_df20', school, contribution FROM r WHERE lo > 1 OR c = 1)"""
+_EB_VARIANTS = eb_sql("v", "school", "s", "variant", 1).split("\n    SELECT variant")[0]
+for _old in ("+ 20 * pooled", "n - 1 + 20"):
+    _EB_VARIANTS = _EB_VARIANTS.replace(_old, _old.replace("20", "(CASE variant WHEN 'primary_df10' THEN 10 WHEN 'primary_df50' THEN 50 ELSE 20 END)"))
+
+
+@add(
+    "dev_ranking_sensitivity",
+    with_(
+        UNITS,
+        _VARIANTS + _EB_VARIANTS + """, pop AS (SELECT school AS e FROM ranked_eb WHERE variant = 'primary_df20' AND n >= 30),
+        q AS (SELECT variant, school, rank() OVER (PARTITION BY variant ORDER BY round(posterior, 9) DESC) AS rk FROM ranked_eb JOIN pop ON school = e),
+        z AS (SELECT q.variant, count(*) AS n, corr(q.rk, f.rk) AS rank_corr, avg(abs(q.rk - f.rk)) AS mean_move, median(abs(q.rk - f.rk)) AS median_move,
+          sum(CASE WHEN q.rk <= 10 AND f.rk <= 10 THEN 1 ELSE 0 END) / sum(CASE WHEN f.rk <= 10 THEN 1 ELSE 0 END) AS top_10_kept, sum(CASE WHEN q.rk <= 25 AND f.rk <= 25 THEN 1 ELSE 0 END) / sum(CASE WHEN f.rk <= 25 THEN 1 ELSE 0 END) AS top_25_kept
+          FROM q JOIN q f ON q.school = f.school AND f.variant = 'primary_df20' GROUP BY q.variant)
+        SELECT *, coalesce(rank_corr >= 0.9, false) AND top_10_kept >= 0.5 AND top_25_kept >= 0.6 AND median_move <= 25 AS stable FROM z""",
+        doubles="rank_corr mean_move median_move top_10_kept top_25_kept",
+    ),
+)
+def _(spark, sf):
+    u = _units(spark, sf).withColumn("unit_id", F.concat_ws("|", "person", "gender"))
+    return stats.sensitivity(u, "school", "unit_id", "contribution", "family_median")
+
+
 @add("dev_mad", with_(TRAJ, "SELECT event, median(improvement) AS median, mad(improvement) AS mad FROM traj GROUP BY event", doubles="median mad"))
 def _(spark, sf):
     return stats.mad(trajectories(spark, sf), ["event"], "improvement")
@@ -322,6 +349,43 @@ def _(spark, sf):
     return perf.join(a, "event").groupBy(t.alias("treatment")).agg(F.count("*").alias("n"))
 
 
+@add(
+    "dev_exceedance_review",
+    with_(
+        PERF,
+        """, a AS (SELECT event, quantile_cont(value, 0.9) AS anchor FROM perf GROUP BY event),
+        x AS (SELECT row_id, value / anchor AS ratio, CASE WHEN meet % 3 = 0 THEN 'time' WHEN meet % 3 = 1 THEN 'field' ELSE 'other' END AS family, season_type = 'outdoor' AND event < 'L' AS sensitive, meet % 7 = 0 AS suspected FROM perf JOIN a USING (event))
+        SELECT row_id, CASE WHEN ratio <= 1.0005 THEN 'low' WHEN ratio >= 1.05 THEN 'critical' WHEN sensitive OR ratio >= 1.03 THEN 'high' WHEN ratio >= 1.015 THEN 'medium_high' ELSE 'medium' END AS severity,
+          CASE WHEN ratio <= 1.0005 THEN 'rounding' WHEN ratio >= 1.05 THEN CASE family WHEN 'time' THEN 'wrong distance, unit or time' WHEN 'field' THEN 'wrong unit or mark' ELSE 'wrong event or mark' END
+            WHEN sensitive THEN CASE WHEN suspected THEN 'wind aided' ELSE 'wind unverified' END WHEN ratio >= 1.03 THEN 'major exceedance' WHEN ratio >= 1.015 THEN 'material exceedance' ELSE 'record or scope difference' END AS finding,
+          CASE WHEN ratio <= 1.0005 THEN 'capped' ELSE 'quarantine' END AS action FROM x WHERE ratio > 1""",
+    ),
+)
+def _(spark, sf):
+    perf = performances(spark, sf)
+    a = perf.groupBy("event").agg(F.percentile("value", F.lit(0.9)).alias("anchor"))
+    m = F.col("meet")
+    x = perf.join(a, "event").withColumn("ratio", F.col("value") / F.col("anchor")).withColumn("family", F.when(m % 3 == 0, "time").when(m % 3 == 1, "field").otherwise("other"))
+    r = levels.exceedance_review(F.col("ratio"), F.col("family"), (F.col("season_type") == "outdoor") & (F.col("event") < "L"), m % 7 == 0)
+    return x.withColumn("r", r).where("r is not null").select("row_id", "r.severity", "r.finding", "r.action")
+
+
+@add(
+    "dev_anchor_scope",
+    with_(
+        PERF,
+        """, c AS (SELECT season_type, gender, event, count(*) AS n FROM perf GROUP BY ALL)
+        SELECT *, CASE WHEN event IN ('PROMO', 'SMALL') AND NOT (season_type = 'indoor' AND gender = 'BUILDING' AND event = 'PROMO' OR season_type = 'outdoor' AND gender = 'MACHINERY' AND event = 'SMALL') THEN 'excluded_combined'
+          WHEN gender <> 'MACHINERY' AND event = 'MEDIUM' THEN 'excluded_gender' WHEN NOT (season_type = 'indoor' AND event IN ('ECONOMY', 'PROMO', 'MEDIUM') OR season_type = 'outdoor' AND event IN ('ECONOMY', 'STANDARD', 'SMALL', 'MEDIUM')) THEN 'excluded_season'
+          WHEN n < 60 THEN 'exploratory' ELSE 'primary' END AS scope FROM c""",
+    ),
+)
+def _(spark, sf):
+    compatible = {"indoor": ("ECONOMY", "PROMO", "MEDIUM"), "outdoor": ("ECONOMY", "STANDARD", "SMALL", "MEDIUM")}
+    combined = {("indoor", "BUILDING"): ("PROMO",), ("outdoor", "MACHINERY"): ("SMALL",)}
+    return levels.anchor_scope(performances(spark, sf), "season_type", "gender", "event", compatible, {"MACHINERY": ("MEDIUM",)}, combined, 60)
+
+
 @add(
     "dev_best_anchor",
     with_(PERF, """SELECT event, value, row_id FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY -value, (meet % 2 = 0) DESC, row_id) AS r FROM perf WHERE value <= 1990 AND gender <> 'MACHINERY') WHERE r = 1""", doubles="value"),

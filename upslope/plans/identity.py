@@ -250,6 +250,15 @@ def _(spark, sf):
     return c.read("core", "orders", y=1997)
 
 
+@add("pub_reader", "SELECT o_orderstatus AS model, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW' GROUP BY ALL")
+def _(spark, sf):
+    c = catalog.Catalog(spark, new_path(spark, "reader"), ("official",), {"data/points.csv": ("official", "points")})
+    o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("model"), F.col("o_orderpriority").alias("cohort"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
+    c.publish("official", "points", o, partition_by=["model"])
+    assert c.read_resource("./data//points.csv", model="F").columns == c.read("official", "points").columns
+    return c.time_values("official", "points", ["model", "y", "m"], model="F", cohort="5-LOW")
+
+
 @add("pub_registry", "SELECT 'core' AS layer, 'nation' AS \"table\", 25::BIGINT AS rows, 3::BIGINT AS columns UNION ALL SELECT 'core', 'region', 5, 2")
 def _(spark, sf):
     c = _catalog(spark)

@@ -86,6 +86,28 @@ def _(spark, sf):
     return points.group_points(pooled(spark, sf), ["gender"], "school", "event")
 
 
+GROUPED = POOLS + """,
+grp AS (SELECT *, CASE WHEN event < 'M' THEN 'first' ELSE 'second' END AS grp FROM pooled),
+gp AS (SELECT gender, grp, school, sum(points) / any_value(events) AS group_points FROM grp JOIN (SELECT gender, grp, count(DISTINCT event) AS events FROM grp GROUP BY ALL) e USING (gender, grp) GROUP BY ALL)"""
+
+
+def grouped(spark, sf):
+    p = pooled(spark, sf).withColumn("grp", F.when(F.col("event") < "M", "first").otherwise("second"))
+    return points.group_points(p, ["gender", "grp"], "school", "event")
+
+
+@add("pts_overall_points", with_(GROUPED, """, o AS (SELECT gender, count(DISTINCT grp) AS groups FROM gp GROUP BY 1), t AS (SELECT gender, school, sum(group_points) AS points, count(DISTINCT grp) AS held_groups FROM gp GROUP BY ALL)
+    SELECT gender, school, points, held_groups, groups, points / (groups * 100000) AS share, rank() OVER (PARTITION BY gender ORDER BY round(points, 6) DESC) AS overall_rank FROM t JOIN o USING (gender)""", doubles="points share"))
+def _(spark, sf):
+    return points.overall_points(grouped(spark, sf), ["gender"], "grp", "school")
+
+
+@add("pts_combined_overall_points", with_(GROUPED, """, c AS (SELECT grp, school, sum(group_points) / any_value(genders) AS group_points FROM gp JOIN (SELECT grp, count(DISTINCT gender) AS genders FROM gp GROUP BY 1) g USING (grp) GROUP BY ALL), t AS (SELECT school, sum(group_points) AS points, count(DISTINCT grp) AS held_groups FROM c GROUP BY 1)
+    SELECT school, points, held_groups, 2::BIGINT AS groups, points / 200000 AS share, rank() OVER (ORDER BY round(points, 6) DESC) AS overall_rank FROM t""", doubles="points share"))
+def _(spark, sf):
+    return points.overall_points(points.combine_scopes(grouped(spark, sf), "gender", ["grp"], "school"), [], "grp", "school")
+
+
 @add("pts_concentration", with_(POOLS, """, c AS (SELECT school, person, sum(points) AS amount FROM pooled GROUP BY ALL), s AS (SELECT *, amount / sum(amount) OVER (PARTITION BY school) AS share, row_number() OVER (PARTITION BY school ORDER BY amount DESC, person) AS r FROM c WHERE amount > 0)
     SELECT school, count(*) AS n, sum(share * share) AS hhi, 1 / sum(share * share) AS effective_n, sum(share) FILTER (WHERE r <= 5) AS top_5_share FROM s GROUP BY school""", doubles="hhi effective_n top_5_share"))
 def _(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import uuid
 from collections.abc import Callable
 
@@ -15,19 +16,33 @@ from upslope.operators.checks import gate, parity
 class Catalog:
     """Tables ``layer.name`` below a root folder, each a Parquet folder that is replaced as a whole."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, layers: tuple[str, ...] | None = None, resources: dict[str, tuple[str, str]] | None = None):
+        """With ``layers`` only those exist for readers; ``resources`` names the table that stands for a former file."""
+        self.spark, self.root, self.layers, self.resources = spark, root.rstrip("/"), layers, resources or {}
 
     def path(self, layer: str, name: str) -> str:
         return f"{self.root}/{layer}/{name}"
 
     def read(self, layer: str, name: str, **filters) -> DataFrame:
         """A table, filtered by equality; partition columns prune folders, others reach the scan."""
+        if self.layers is not None and layer not in self.layers:
+            raise ValueError(f"unsupported layer: {layer}")
         df = self.spark.read.parquet(self.path(layer, name))
         for c, v in filters.items():
             df = df.where(F.col(c).isNull() if v is None else F.col(c) == v)
         return df
 
+    def read_resource(self, path: str, **filters) -> DataFrame:
+        """The table that stands for a former file, whose path may be written with ./ or doubled slashes."""
+        key = posixpath.normpath(path)
+        if key not in self.resources:
+            raise KeyError(f"no table stands for {key}")
+        return self.read(*self.resources[key], **filters)
+
+    def time_values(self, layer: str, name: str, columns: list[str], **filters) -> DataFrame:
+        """The distinct values of a table's time columns, in order, nulls first."""
+        return self.read(layer, name, **filters).select(*columns).distinct().orderBy(*(F.col(c).asc_nulls_first() for c in columns))
+
     def attach(self, layer: str, names: list[str]) -> None:
         """Temporary views of a layer's tables."""
         for n in names:
