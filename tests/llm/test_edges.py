@@ -488,3 +488,57 @@ def test_written_shards(spark, tmp_path):
     assert back.columns == placed.columns and sorted(back.collect()) == sorted(placed.collect())
     assert sharding.write_shards(placed.limit(0), str(tmp_path / "none")).count() == 0
     assert spark.read.parquet(str(tmp_path / "shards")).groupBy("shard").count().agg(F.max("count")).first()[0] == 13
+
+
+PAGES = "page_id long, url string, html string, host string, lines string, kept string, bad_host string, node string, src string, rule string"
+
+
+@pytest.fixture(scope="module")
+def odd_pages(spark):
+    """Nulls, repeated rows, a long page and columns named like the operators' own."""
+    nav = "<nav>Home</nav>"
+    rows = [(i, f"http://a.org/{i}", f"{nav}<p>own {i}</p>") for i in range(12)]
+    rows += [(3, "http://a.org/3", f"{nav}<p>own 3</p>"), (None, None, None), (20, "", ""), (21, "no scheme", nav), (22, "http://b.org/x", "<p>" + "long line " * 20_000 + "</p>"), (23, None, f"{nav}<p>x</p>")]
+    return spark.createDataFrame([(*r, "h", "l", "k", "b", "n", "s", "r") for r in rows], PAGES)
+
+
+@pytest.mark.parametrize("name", ["urls", "lines"])
+def test_odd_pages_give_one_row_each(odd_pages, name):
+    run = {"urls": url_filter.judge_urls, "lines": line_dedup.dedup_lines}[name]
+    first = sorted(map(str, run(odd_pages).collect()))
+    assert len(first) == odd_pages.count()
+    assert sorted(map(str, run(odd_pages.repartition(5)).collect())) == first
+    assert run(odd_pages.limit(0)).count() == 0
+
+
+def test_lines_at_the_ratio_stay(spark):
+    def site(host, pages, held):
+        return [(f"http://{host}/{i}", "<p>menu</p><p>own</p>".replace("own", f"own {i}") if i < held else f"<p>only {i}</p>") for i in range(pages)]
+
+    rows = site("tie.org", 60, 6) + site("over.org", 60, 7) + site("few.org", 12, 4)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    dropped = {r.host: r.n for r in line_dedup.dedup_lines(df).groupBy("host").agg(F.sum("n_dropped").alias("n")).collect()}
+    assert dropped == {"tie.org": 0, "over.org": 7, "few.org": 0}, "a tenth is not more than a tenth, and four pages are too few"
+
+
+def test_decontamination_of_odd_rows(odd):
+    bench = odd.sparkSession.createDataFrame([(1, LONG, "x"), (1, LONG, "x"), (None, " ".join(LONG.split()[:30]), "y"), (2, None, "z")], "item_id long, text string, matches string")
+    found = sorted((r.doc_id or 0, r.item_id or 0, r.matches) for r in decontamination.find_overlaps(odd, bench).collect())
+    assert found == sorted([(1, 1, 300), (1, 1, 300), (1, 0, 30), (1, 0, 30), (0, 1, 300), (0, 0, 30), (6, 1, 299), (6, 0, 30)])
+    kept = decontamination.drop_contaminated(odd, bench)
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 4, 5, 7]
+
+
+def test_redaction_of_odd_rows(odd):
+    out = secrets.redact_secrets(odd)
+    assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
+
+
+def test_mix_serves_equal_finish_times_in_a_fixed_order(spark):
+    """Equal sizes in equal sources finish at equal times."""
+    docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    first = sorted(map(str, mixing.mix_sources(docs, weights=(1, 1)).collect()))
+    assert sorted(map(str, mixing.mix_sources(docs.repartition(7), weights=(1, 1)).collect())) == first
+    assert mixing.mix_sources(docs, weights=(1, 1)).agg(F.sum("taken")).first()[0] == 600
+    same = spark.createDataFrame([(None, "w " * 10, "a")] * 300 + [(i, "w " * 5, "b") for i in range(50)], "doc_id long, text string, source string")
+    assert mixing.mix_sources(same).where("taken > 0").count() > 150

@@ -73,3 +73,25 @@ def test_stages_keep_the_columns_of_documents(spark, small):
         assert set(docs.columns) <= set(got.columns), name
         if name != "sharding":
             assert got.columns == docs.columns, name
+
+
+def test_stages_handle_odd_and_empty_tables(spark, small):
+    long = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, long, "a"), (1, long, "a"), (None, long, None), (None, None, "b"), (2, "", "b"), (3, long + " tail", "a"), (4, long[::-1], "b"), (None, long[::-1] + " x", "c")]
+    schema = "doc_id long, text string, source string, size int, copy string, h int, shard string, slot int"
+    odd = spark.createDataFrame([(*r, 1, "c", 2, "s", 3) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, small)
+        ids = sorted(r.doc_id or 0 for r in got.collect())
+        assert {"quality_rules": [0, 0, 1, 1, 3, 4], "ngram_jaccard_join": [0, 1, 1, 2, 4], "decontamination": [0, 0, 0, 1, 1, 2, 3, 4], "sharding": [0, 0, 0, 1, 1, 2, 3, 4]}.get(name, ids) == ids, name
+        assert name == "sharding" or got.columns == odd.columns
+        assert stage(spark, odd.limit(0), small).count() == 0, name
+
+
+def test_pipeline_is_a_function_of_its_rows(spark, small):
+    first = sorted(map(str, corpus_pipeline.run(spark, small).select("doc_id", "shard", "slot").collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    try:
+        assert sorted(map(str, corpus_pipeline.run(spark, small).select("doc_id", "shard", "slot").collect())) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
