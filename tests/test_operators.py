@@ -214,3 +214,25 @@ def test_reader_refuses_unknown_layers_and_resources(spark):
         c.read("private", "t")
     with pytest.raises(KeyError):
         c.read_resource("a/c.csv")
+
+
+def test_interrupted_work_goes_on_where_it_stopped(spark):
+    from upslope.scratch import new_path
+    from upslope.sources import resume
+    from upslope.sources.catalog import Catalog
+
+    c, source, calls = Catalog(spark, new_path(spark, "catalog")), spark.range(40).selectExpr("nullif(id, 7) k", "id v"), []
+
+    def parse(df):
+        if len(calls) == 2:
+            calls.append(None)
+            raise RuntimeError("stopped")
+        calls.append(df.count())
+        return df
+
+    with pytest.raises(RuntimeError):
+        resume.process_in_chunks(c, "raw", "t", source, "k", parse, 5)
+    assert c.read("raw", "t").count() == sum(calls[:2])
+    resume.process_in_chunks(c, "raw", "t", source, "k", parse, 5)
+    assert sorted(r.v for r in c.read("raw", "t").collect()) == [i for i in range(40) if i != 7]
+    assert resume.process_in_chunks(c, "raw", "t", source, "k", parse, 5) == 0

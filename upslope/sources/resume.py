@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from upslope.scratch import drop_path, new_path
 from upslope.sources.catalog import Catalog
 
 
@@ -19,23 +20,25 @@ def pending(source: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
 def process_in_chunks(catalog: Catalog, layer: str, name: str, source: DataFrame, key: str, parse: Callable[[DataFrame], DataFrame], chunks: int = 10) -> int:
     """Parse and append what is pending, one hash range of keys at a time; returns the chunks written.
 
-    A chunk is one commit, so an interrupted run repeats at most one chunk and
-    rows already there are not parsed again.
+    The source is compared with what is done and cut into its chunks once.  A chunk is one commit, so
+    an interrupted run repeats at most one chunk and rows already there are not parsed again.
     """
-    written = 0
-    for i in range(chunks):
-        part = source.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == i)
-        try:
-            done = catalog.read(layer, name)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            done = None
-        rest = pending(part, done, key)
-        if rest.limit(1).count():
-            catalog.append(layer, name, parse(rest))
-            written += 1
-    return written
+    spark = source.sparkSession
+    try:
+        done = catalog.read(layer, name)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        done = None
+    path = new_path(spark, "chunks")
+    rest = pending(source, done, key).select(*source.columns, F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("__chunk"))
+    rest.write.partitionBy("__chunk").parquet(path)
+    staged = spark.read.schema(rest.schema).parquet(path)
+    numbers = sorted(r[0] for r in staged.select("__chunk").distinct().collect())
+    for i in numbers:
+        catalog.append(layer, name, parse(staged.where(F.col("__chunk") == i).drop("__chunk")))
+    drop_path(spark, path)
+    return len(numbers)
 
 
 def rewrite(catalog: Catalog, layer: str, name: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
