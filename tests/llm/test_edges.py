@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from upslope.llm import decontamination, line_dedup, lm_scoring, mixing, ngram_join, quality, records, secrets, sharding, url_filter
 from upslope.llm import queries as Q
-from upslope.scratch import new_path
+from upslope.scratch import materialize, new_path
 
 SCHEMA = "doc_id long, text string, source string, size int, node string, h string, bucket int, id int"
 LONG = " ".join(f"word{i}" for i in range(300))
@@ -542,3 +542,32 @@ def test_mix_serves_equal_finish_times_in_a_fixed_order(spark):
     assert mixing.mix_sources(docs, weights=(1, 1)).agg(F.sum("taken")).first()[0] == 600
     same = spark.createDataFrame([(None, "w " * 10, "a")] * 300 + [(i, "w " * 5, "b") for i in range(50)], "doc_id long, text string, source string")
     assert mixing.mix_sources(same).where("taken > 0").count() > 150
+
+
+def test_passage_that_no_task_holds_twice_makes_no_group(spark):
+    """A passage of many texts whose documents lie in tasks of their own is found by the count over all tasks."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(100)]
+    rows = [(i, f"{t} {passage}") for i, t in enumerate(texts)] + [(1000 + i, f"{texts[i]} {passage} extra") for i in range(3)]
+    nodes = ngram_join._node_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(103, "doc_id"), "doc_id", "text", 4)
+    nodes = materialize(nodes, "test-sets")
+    bits = ngram_join._bucket_bits(nodes, 85)
+    assert bits == 12
+    order = ngram_join._common_order(nodes.repartition(103, "id"), 85, bits)
+    # of the 57 shingles within the passage those that begin a set are frequent, and no list of the others is long
+    first = [ngram_join.prefix(np.frombuffer(r.items, np.uint64), order, 85)[0] for r in nodes.collect()]
+    counts = np.unique(np.concatenate(first), return_counts=True)[1]
+    assert counts.max() <= ngram_join.SHORT_LIST
+    empty = np.zeros((2, 0), np.uint64)
+    before = [ngram_join.prefix(np.frombuffer(r.items, np.uint64), empty, 85)[0] for r in nodes.collect()]
+    assert np.unique(np.concatenate(before), return_counts=True)[1].max() > ngram_join.SHORT_LIST
+    linked = {r.node: r.component for r in ngram_join.similar_sets(nodes, 85).collect()}
+    assert len(linked) == 6 and len(set(linked.values())) == 3
+
+
+def test_bucket_bits_follow_the_size_of_the_table(spark):
+    def bits(n):
+        return ngram_join._bucket_bits(spark.createDataFrame([(1, n)], "node long, n long"), 85)
+
+    assert [bits(n) for n in (0, 10**6, 10**10, 10**11, 10**14)] == [12, 12, 13, 16, 18]

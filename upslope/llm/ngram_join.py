@@ -7,8 +7,9 @@ The order here puts shingles that many documents hold last, so short inverted
 lists decide.
 
 1. One pass over the texts writes every node's sorted set and finds shingles that
-   are frequent within a task; the most frequent ones go last in the order.
-   They only steer the order: a shingle missing there costs time, not links.
+   are frequent within a task.  A second counts the first shingles of all sets over the
+   whole table and adds those whose list is long, though no task held many of them.
+   The most frequent ones go last in the order; they only steer it: a shingle missing there costs time, not links.
 2. Inverted lists of the first shingles give candidates.  Of a list up to
    ``SHORT_LIST`` nodes all pairs are counted; a pair stays if what its prefixes share
    leaves the required overlap within reach.  A longer list is cut down to a
@@ -43,7 +44,9 @@ from upslope.scratch import drop_tables, materialize
 
 #: Entries of the table of frequent shingles (16 bytes each when broadcast).
 MAX_FREQUENT = 1 << 18
-_BUCKETS = 1 << 12
+#: Entries of inverted lists that one bucket should hold, and the bits that number the buckets.
+_BUCKET_ENTRIES = 1 << 18
+_BUCKET_BITS = (12, 18)
 #: Longest inverted list of which all pairs are counted.
 SHORT_LIST = 64
 #: Groups above so many nodes are cut into blocks of about half as many, up to ``MOST_BLOCKS`` unless memory asks for more.
@@ -85,8 +88,48 @@ def _node_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
     return map_arrow(docs.select(F.col(id_col), utf8(F.col(text_col)).alias("t")), sets, f"id {kind}, n long, node long, items binary")
 
 
-def _frequent(nodes: DataFrame, least: int = 2) -> np.ndarray:
-    """Sorted hashes of shingles that stand out within tasks, most frequent ones at most ``MAX_FREQUENT``."""
+def _bucket_bits(nodes: DataFrame, percent: int) -> int:
+    """Bits of a hash that number the buckets of inverted lists: more for larger tables, so that a bucket stays in memory."""
+    size = nodes.where("node is not null").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
+    entries = (size.n or 0) * (100 - percent) // 100 + size.rows
+    low, high = _BUCKET_BITS
+    return min(high, max(low, math.ceil(math.log2(max(1, entries / _BUCKET_ENTRIES)))))
+
+
+def _cut_buckets(h: np.ndarray, bits: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """(bucket, part of h, parts of the columns) by the upper bits of sorted hashes."""
+    bucket = (h >> np.uint64(64 - bits)).astype(np.int32)
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    return ((int(k[0]), *part) for k, *part in zip(*(np.split(x, cuts) for x in (bucket, h, *columns)), strict=True) if len(k))
+
+
+def _most_frequent(top: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent shingles of (h, c), at most ``MAX_FREQUENT`` and cut between counts."""
+    above = 0
+    for r in top.groupBy(F.least("c", F.lit(4096)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
+        if above and above + r.n > MAX_FREQUENT:
+            break
+        above, least = above + r.n, r.c
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], names=["h", "c"])
+
+    rows = map_arrow(top.where(F.col("c") >= least).limit(MAX_FREQUENT), pack, "h binary, c binary").collect()
+    h = np.frombuffer(b"".join(bytes(r.h) for r in rows), np.int64).view(np.uint64)
+    return h, np.frombuffer(b"".join(bytes(r.c) for r in rows), np.int64)
+
+
+def _ordered(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Sorted hashes and their places by count, of the ``MAX_FREQUENT`` with the largest counts."""
+    by_count = np.lexsort((h, c))[-MAX_FREQUENT:]
+    h = h[by_count]
+    order = np.argsort(h)
+    return np.stack([h[order], order.astype(np.uint64)])
+
+
+def _frequent(nodes: DataFrame, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that stand out within tasks and their counts, most frequent ones at most ``MAX_FREQUENT``."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -114,24 +157,84 @@ def _frequent(nodes: DataFrame, least: int = 2) -> np.ndarray:
 
     counts = map_arrow(nodes.where("node is not null").select("node", "items"), local, "h long, c long")
     top = materialize(counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least), "ngram-frequent")
-    above = 0
-    for r in top.groupBy(F.least("c", F.lit(4096)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
-        if above and above + r.n > MAX_FREQUENT:
-            break
-        above, least = above + r.n, r.c
+    found = _most_frequent(top, least)
+    drop_tables(top)
+    return found
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _common_order(nodes: DataFrame, percent: int, bits: int) -> np.ndarray:
+    """Sorted hashes and places of the shingles that come last in the common order.
+
+    Those that stand out within tasks make a first order.  The first shingles of all sets
+    under it are counted over the whole table; a list above ``SHORT_LIST`` makes its shingle frequent
+    as well, so that its documents meet in rarer ones.
+    """
+    h, c = _frequent(nodes)
+    shared = nodes.sparkSession.sparkContext.broadcast(_ordered(h, c))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            h = np.concatenate(hs)
+            mark = np.repeat(np.array(list(seen), np.int64), [len(x) for x in hs]).astype(np.uint16)
+            order = np.argsort(h, kind="stable")
+            h, mark, many = h[order], mark[order], _lengths(h[order])
+            keep = (many <= SHORT_LIST) | np.concatenate([[True], h[1:] != h[:-1]])  # of a long list one entry stands for all
+            many = np.where(many <= SHORT_LIST, 1, np.minimum(many, 65535)).astype(np.uint16)
+            rows = [(k, *(x.tobytes() for x in part)) for k, *part in _cut_buckets(h[keep], bits, mark[keep], many[keep])]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "h", "mark", "many"])
+
+        seen: dict[int, None] = {}
+        hs: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], names=["h", "c"])
+            for node, items in _columns(batch):
+                if node in seen:
+                    continue
+                seen[node] = None
+                hs.append(prefix(np.frombuffer(items, np.uint64), shared.value, percent)[0])
+                held += len(hs[-1])
+                if held > _HELD // 2:
+                    yield flush()
+                    hs, held = [], 0
+                    seen = {}
+        if hs:
+            yield flush()
 
-    rows = map_arrow(top.where(F.col("c") >= least).limit(MAX_FREQUENT), pack, "h binary, c binary").collect()
-    drop_tables(top)
-    h = np.frombuffer(b"".join(bytes(r.h) for r in rows), np.int64).view(np.uint64)
-    c = np.frombuffer(b"".join(bytes(r.c) for r in rows), np.int64)
-    place = np.empty(len(h), np.uint64)
-    place[np.lexsort((h, c))] = np.arange(len(h), dtype=np.uint64)
-    order = np.argsort(h)
-    return np.stack([h[order], place[order]])
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            h, mark, many = (np.concatenate(x) for x in (hs, marks, counts))
+            order = np.lexsort((mark, h))
+            h, mark, many = h[order], mark[order], many[order].astype(np.int64)
+            again = np.concatenate([[False], (h[1:] == h[:-1]) & (mark[1:] == mark[:-1])])
+            many[again] -= 1  # equal sets of several tasks count once
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.add.reduceat(many, first)
+            long = n > SHORT_LIST
+            return pa.RecordBatch.from_arrays([_signed(h[first][long]), pa.array(n[long], pa.int64())], names=["h", "c"])
+
+        hs, marks, counts, bucket = [], [], [], None
+        for batch in batches:
+            for k, a, b, c in _columns(batch):
+                if k != bucket and hs:
+                    yield close()
+                    hs, marks, counts = [], [], []
+                bucket = k
+                hs.append(np.frombuffer(a, np.uint64))
+                marks.append(np.frombuffer(b, np.uint16))
+                counts.append(np.frombuffer(c, np.uint16))
+        if hs:
+            yield close()
+
+    lists = map_arrow(nodes.where("node is not null").select("node", "items"), local, "bucket int, h binary, mark binary, many binary")
+    dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
+    long = materialize(map_arrow(dealt, total, "h long, c long"), "ngram-long")
+    shared.unpersist()
+    more, n = _most_frequent(long, SHORT_LIST + 1)
+    drop_tables(long)
+    u, at = np.unique(np.concatenate([h, more]), return_inverse=True)
+    most = np.zeros(len(u), np.int64)
+    np.maximum.at(most, at, np.concatenate([c, n]))
+    return _ordered(u, most)
 
 
 def prefix(items: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -177,7 +280,7 @@ def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 PAIR, EDGE, NODE = 0, 1, 2
 
 
-def _candidate_edges(nodes: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def _candidate_edges(nodes: DataFrame, frequent: np.ndarray, percent: int, bits: int) -> DataFrame:
     """Edges (src, dst) between nodes that may be similar; pairs that share no path of them are not."""
     shared = nodes.sparkSession.sparkContext.broadcast(frequent)
 
@@ -195,10 +298,8 @@ def _candidate_edges(nodes: DataFrame, frequent: np.ndarray, percent: int) -> Da
             heads = long & np.concatenate([[True], h[1:] != h[:-1]])
             keep = ~long | heads
             h, node, star = h[keep], node[keep], heads[keep]
-            bucket = (h >> np.uint64(52)).astype(np.int32)  # h is sorted, and so are the buckets
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            rows = [(int(k[0]), -1, *(x.tobytes() for x in part)) for k, *part in zip(*(np.split(x, cuts) for x in (bucket, h, node, star)), strict=True) if len(k)]
-            own = int(ids[0]) & (_BUCKETS - 1)
+            rows = [(k, -1, *(x.tobytes() for x in part)) for k, *part in _cut_buckets(h, bits, node, star)]
+            own = int(ids[0]) & ((1 << bits) - 1)
             rows.append((own, EDGE, src.tobytes(), dst.tobytes(), b""))
             rows.append((own, NODE, np.array(ids, np.int64).tobytes(), np.array(places, np.int64).tobytes(), np.array(sizes, np.int64).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "kind", "a", "b", "c"])
@@ -403,7 +504,8 @@ def similar_sets(nodes: DataFrame, percent: int, block_shingles: int = 1_000_000
     does not read are added to ``written``.
     """
     spark = nodes.sparkSession
-    edges = _candidate_edges(nodes, _frequent(nodes), percent)
+    bits = _bucket_bits(nodes, percent)
+    edges = _candidate_edges(nodes, _common_order(nodes, percent, bits), percent, bits)
     groups = connected_components(edges)
     drop_tables(edges)
     bitmap = spark.sparkContext.broadcast(_candidate_bits(groups))
