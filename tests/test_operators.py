@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from upslope.operators import checks, graph, identity, levels, points, stats, windows
 from upslope.plans import identity as identity_plans
 from upslope.scratch import drop_path, materialize, new_path, shared_dir
-from upslope.sources import catalog, csvfiles, pages
+from upslope.sources import catalog, csvfiles, pages, profiles
 from upslope.streaming import ingest
 
 
@@ -236,3 +236,28 @@ def test_interrupted_work_goes_on_where_it_stopped(spark):
     resume.process_in_chunks(c, "raw", "t", source, "k", parse, 5)
     assert sorted(r.v for r in c.read("raw", "t").collect()) == [i for i in range(40) if i != 7]
     assert resume.process_in_chunks(c, "raw", "t", source, "k", parse, 5) == 0
+
+
+def test_profile_pages(spark):
+    page = """<html><script>var a = "<td>x</td>";</script><h3 class="large-title">JANE O'DOE (SR-4)</h3><a href="/teams/tf/CA_x.html">STATE U</a><div>College Bests</div>
+    <div id="session-history"><h3 class="outdoors">2021 Season</h3><div><a href="https://x.org/results/11/22/M?q">a</a></div><h3>2020 XC</h3><div><a href="/results/xc/9/Meet">b</a></div></div>
+    <div id="meet-results"><table><thead><tr><th><a href="/results/11/Meet">Big <b>Meet</b></a> <span>May 1, 2021</span></th></tr></thead>
+    <tr class="highlight"><td>100<td><a href="/results/11/22/M/">10.52</a> <span>(+1.2)</span><span>34' 5"</span></td><td>3rd (F)</td></tr><tr><td>x</td></tr><tr><td>no link<td>1<td>2</tr></table>
+    <div class="transfer">Competing for Old College &darr;</div><table><thead><tr><th><a href="/results/xc/9/Meet">XC</a><span>Nov 2019</span></thead><tr><td>8K</td><td><a href="/results/xc/9/Meet">25:00</a></td><td>12</td></tr></table>
+    <table><tr><td>no head</td><td><a href="/results/1/2">1</a></td><td>1</td></tr></table></div>"""
+    nested = "<div id=meet-results><table><thead><a href=/results/1>M</a></thead><tr><td>a<td><a href=/results/1/2>9<table><tr><td>in</table></a><td>1"
+    rows = [(1, page, ["Other", "state-u"]), (2, None, None), (3, "", []), (4, page.replace("meet-results", "none"), None), (5, nested, None), (6, "<p>" * 20000 + "</div>" * 20000, None), (None, "<div id=meet-results><a href='http://[x/results/'>", [None])]
+    parsed = profiles.parse_profiles(spark.createDataFrame(rows, "page_id long, html string, schools array<string>"), schools_col="schools")
+    got = {r.page_id: r for r in parsed.collect()}
+    assert len(got) == 7
+    assert {k for k, r in got.items() if r.status != "OK"} == {2, 3, 4, 6} and not got[4].results and got[4].name == "Jane O'Doe"
+    r = got[1]
+    assert (r.name, r.class_year, r.school, r.team_id) == ("Jane O'Doe", "SR-4", "state-u", "CA_x")
+    assert [(s.school, s.marker, s.is_current) for s in r.sections] == [("state-u", None, True), ("Old College", "Competing for Old College ↓", False)]
+    assert [tuple(x)[:16] for x in r.results] == [
+        (0, 0, "2021", "Outdoor", "2021 Season", "11", "22", "Big Meet", "May 1, 2021", "100", "10.52", "34' 5\"", "+1.2", "3rd", "F", "3rd (F)"),
+        (1, 1, "2020", "Cross Country", "2020 XC", "9", None, "XC", "Nov 2019", "8K", "25:00", None, None, "12", None, "12"),
+    ]
+    assert [x.kind for x in r.links] == ["MEET_OR_RESULTS_PAGE", "RESULT_DETAIL", "XC_RESULT_OR_MEET", "RESULT_DETAIL"]
+    assert got[None].sections[0].school == "[UNRESOLVED CURRENT SCHOOL]" and not got[None].links
+    assert parsed.limit(0).count() == 0 and profiles.unfold(parsed, "results").where("page_id = 1").count() == 2

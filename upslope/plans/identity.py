@@ -10,7 +10,7 @@ from upslope.functions import exprs, marks, text
 from upslope.operators import checks, identity, windows
 from upslope.plans._base import PERF, performances, rounded, table, with_
 from upslope.scratch import materialize, new_path
-from upslope.sources import catalog, csvfiles, pages
+from upslope.sources import catalog, csvfiles, pages, profiles
 from upslope.streaming import ingest
 
 Q, O = {}, {}
@@ -200,6 +200,36 @@ def _(spark, sf):
     return out.select("page_id", "row_index", "section", "event", "mark", "wind", "place", "round")
 
 
+def profile_pages(spark, sf):
+    # the pages are no profiles, so each gets one behind its own html
+    p = F.col("page_id").cast("string")
+    head = [F.lit("<h3 class='large-title'>PERSON "), p, F.lit(" (SR-4)</h3><a href='/teams/tf/T"), F.col("page_id") % 7, F.lit(".html?x=1'>STATE "), F.col("page_id") % 7, F.lit("</a>")]
+    seasons = [F.lit("<div id='session-history'><h3 class='outdoors'>"), F.col("page_id") % 9 + 2010, F.lit(" Season</h3><div><a href='/results/"), p, F.lit("/5/Meet'>all</a></div></div>")]
+    first = [F.lit("<div id='meet-results'><table><thead><tr><th><a href='/results/"), p, F.lit("/Meet'>Meet "), p, F.lit("</a><span>May 1, 2015</span></th></tr></thead><tr class='highlight'><td>100<td><a href='/results/"), p]
+    first += [F.lit("/5/Meet/'>10."), F.col("page_id") % 90 + 10, F.lit("</a><span>(-0.3)</span><span>w</span><td>"), F.col("page_id") % 8 + 1, F.lit(" (P)</tr></table>")]
+    moved = [F.lit("<div class='transfer'>Competing for College "), F.col("page_id") % 5, F.lit(" &darr;</div><table><thead><tr><th><a href='/results/xc/"), p]
+    moved += [F.lit("/M'>XC</a><span>Nov 2 2013</span></thead><tr><td>8K</td><td><a href='/results/xc/"), p, F.lit("/M'>25:00</a></td><td>12</td></tr></table></div>")]
+    html = F.concat(F.coalesce("html", F.lit("")), *(c.cast("string") for c in head + seasons + first + moved))
+    return profiles.parse_profiles(table(spark, sf, "pages").select("page_id", html.alias("html")))
+
+
+@add("source_profile_results", """SELECT page_id, status, 'Person ' || page_id AS name, 'SR-4' AS class_year, 'State ' || page_id % 7 AS school, 'T' || page_id % 7 AS team_id, r.* FROM (SELECT page_id, 'OK' AS status, unnest([
+  {'section_index': 0, 'season_year': CAST(page_id % 9 + 2010 AS VARCHAR), 'season_type': 'Outdoor', 'season_label': (page_id % 9 + 2010) || ' Season', 'meet_id': CAST(page_id AS VARCHAR), 'result_id': '5', 'meet_name': 'Meet ' || page_id, 'meet_date': 'May 1, 2015', 'event': '100', 'mark': '10.' || (page_id % 90 + 10), 'secondary_mark': 'w', 'wind': '-0.3', 'place': CAST(page_id % 8 + 1 AS VARCHAR), 'round': 'P', 'highlighted': true},
+  {'section_index': 1, 'season_year': '2013', 'season_type': 'Cross Country', 'season_label': '2013 XC', 'meet_id': CAST(page_id AS VARCHAR), 'result_id': NULL, 'meet_name': 'XC', 'meet_date': 'Nov 2 2013', 'event': '8K', 'mark': '25:00', 'secondary_mark': NULL, 'wind': NULL, 'place': '12', 'round': NULL, 'highlighted': false}]) AS r FROM pages)""")
+def _(spark, sf):
+    out = profile_pages(spark, sf).select("page_id", "status", "name", "class_year", "school", "team_id", F.explode("results").alias("r"))
+    return out.select("page_id", "status", "name", "class_year", "school", "team_id", "r.*").drop("row_index", "raw_place", "meet_url", "result_url")
+
+
+@add("source_profile_sections", """SELECT page_id, i AS section_index, CASE WHEN i = 0 THEN 'State ' || page_id % 7 ELSE 'College ' || page_id % 5 END AS school, CASE WHEN i = 0 THEN 'PROFILE_CURRENT_SCHOOL' ELSE 'PROFILE_TRANSFER_MARKER' END AS method, i = 0 AS is_current,
+  CASE WHEN i = 0 THEN 2 ELSE 1 END::BIGINT AS links, CASE WHEN i = 0 THEN sha256('https://example.org/results/' || page_id || '/5/Meet') ELSE sha256('https://example.org/results/xc/' || page_id || '/M') END AS last_key, CASE WHEN i = 0 THEN 'MEET_OR_RESULTS_PAGE,RESULT_DETAIL' ELSE 'XC_RESULT_OR_MEET' END AS kinds
+  FROM pages CROSS JOIN (SELECT unnest([0, 1])::INTEGER AS i)""")
+def _(spark, sf):
+    parsed = materialize(profile_pages(spark, sf), "profiles")
+    links = profiles.unfold(parsed, "links").groupBy("page_id", "section_index").agg(F.count("*").alias("links"), F.max_by("url_sha256", "kind").alias("last_key"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
+    return profiles.unfold(parsed, "sections").drop("marker").join(links, ["page_id", "section_index"])
+
+
 @add("source_csv_round_trip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def _(spark, sf):
     path = new_path(spark, "csv")
