@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from upslope.functions.similarity import resolve_rows
 from upslope.operators import checks, graph, identity, levels, points, stats, windows
 from upslope.plans import identity as identity_plans
 from upslope.scratch import drop_path, materialize, new_path, shared_dir
@@ -261,3 +262,10 @@ def test_profile_pages(spark):
     assert [x.kind for x in r.links] == ["MEET_OR_RESULTS_PAGE", "RESULT_DETAIL", "XC_RESULT_OR_MEET", "RESULT_DETAIL"]
     assert got[None].sections[0].school == "[UNRESOLVED CURRENT SCHOOL]" and not got[None].links
     assert parsed.limit(0).count() == 0 and profiles.unfold(parsed, "results").where("page_id = 1").count() == 2
+
+
+def test_resolved_rows_take_the_first_method_that_finds_any(spark):
+    targets = spark.createDataFrame([(1, 7, "Ann Lee", "10.52"), (1, 8, "Bob Roe", "10.52"), (1, 9, "José  Díaz", None), (2, 7, "Ann Lee", "9"), (1, None, None, "10.52")], "page_id long, person_id long, name string, mark string")
+    rows = [(1, 0, None, "Ann Lee", "x 10.52"), (1, 1, 7, "Someone", "y"), (1, 2, None, "Rob Roe", "10.52h"), (1, 3, None, "Bobby Roe", "10.52"), (1, 4, None, "Bob Row", "11.0"), (1, 5, None, "JOSE Diaz", ""), (1, 6, None, None, "10.52")]
+    got = resolve_rows(targets, spark.createDataFrame(rows, "page_id long, row_index int, link_id long, link_name string, row_text string")).collect()
+    assert sorted((r.person_id, r.row_index, r.method, round(r.score, 4)) for r in got) == [(7, 1, "id", 1.0), (8, 3, "similar", 0.9), (9, 5, "name", 1.0)]

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -41,3 +42,35 @@ def best_match(left: DataFrame, right: DataFrame, block: list[str], a: str, b: s
     both = add_similarity(left.join(right, block), a, b)
     top = both.where(F.col("similarity") >= least).groupBy(*left.columns).agg(F.max(F.struct("similarity", F.col(b))).alias("__m"))
     return top.select(*left.columns, F.col("__m.similarity").alias("similarity"), F.col(f"__m.{b}").alias(b))
+
+
+def resolve_rows(targets: DataFrame, rows: DataFrame, page: str = "page_id", least_last: float = 0.8, least_first: float = 0.4) -> DataFrame:
+    """Rows of its page that belong to each target: (target columns, ``row_index``, ``method``, ``score``).
+
+    ``targets`` has ``person_id``, ``name`` and ``mark``; ``rows`` has ``row_index``, ``link_id`` and ``link_name`` of the
+    row's link to a person, and ``row_text``.  The first method with a row decides: ``id``, equal ids; ``name``,
+    equal folded names; ``similar``, rows that hold the mark under a name whose last and first words are similar
+    enough, of which those with the highest score (0.6 last, 0.4 first) stay.  Targets without a row are left out;
+    null names, marks and ids match nothing.
+    """
+
+    def word(name: str, at: int):
+        return F.element_at(F.split(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " ")), " "), at)
+
+    def token(text: str):
+        return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9.:]", "")
+
+    both = targets.join(rows, page).withColumns({"__f": word("name", 1), "__g": word("link_name", 1), "__l": word("name", -1), "__m": word("link_name", -1)})
+    for a, b, score in (("name", "link_name", "__whole"), ("__f", "__g", "__first"), ("__l", "__m", "__last")):
+        both = add_similarity(both, a, b, score)
+    named = F.trim(F.coalesce("name", F.lit(""))) != ""
+    marked = (token("mark") != "") & F.contains(token("row_text"), token("mark"))
+    alike = named & F.col("link_name").isNotNull() & marked & (F.col("__last") >= least_last) & (F.col("__first") >= least_first)
+    step = F.when(F.col("person_id") == F.col("link_id"), 1).when(named & (F.col("__whole") == 1), 2).when(alike, 3)
+    score = F.when(F.col("__step") == 3, 0.6 * F.col("__last") + 0.4 * F.col("__first")).otherwise(F.lit(1.0))
+    found = both.withColumn("__step", step).where("__step is not null").withColumn("score", score)
+    best = W.partitionBy(*targets.columns)
+    found = found.withColumn("__best", F.min("__step").over(best)).where("__step = __best")
+    found = found.withColumn("__top", F.max("score").over(best)).where("score = __top")
+    method = F.element_at(F.array(F.lit("id"), F.lit("name"), F.lit("similar")), F.col("__step")).alias("method")
+    return found.select(*targets.columns, "row_index", method, "score")

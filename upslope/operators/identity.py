@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 from upslope.operators.graph import connected_components
 
 
+# The names by which an event is run by a team.
+_RELAY = r"^\s*4x|relay|medley|^\s*[ds]mr\s*$"
+
+
+def is_relay(event: Column) -> Column:
+    """Whether an event is run by a team; null is not."""
+    return F.coalesce(F.lower(event).rlike(_RELAY), F.lit(False))
+
+
+def row_signature(*columns: Column) -> Column:
+    """md5 of the columns' texts, told apart by the unit separator; null counts as empty."""
+    return F.md5(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)))
+
+
 def duplicate_pairs(rows: DataFrame, profile: str, name: str, group: str, signature: Column, min_shared: int = 2, min_share: float = 0.25, max_profiles: int | None = 20, block: int = 256) -> DataFrame:
     """Pairs of profiles of one name that share signatures, with a confidence.
 

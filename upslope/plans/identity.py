@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from upslope.functions import exprs, marks, text
+from upslope.functions import exprs, marks, similarity, text
 from upslope.operators import checks, identity, windows
 from upslope.plans._base import PERF, performances, rounded, table, with_
 from upslope.scratch import materialize, new_path
@@ -62,6 +62,30 @@ def _(spark, sf):
     return identity.canonical_ids(duplicate_pairs(spark, sf).where("confidence = 'high'"))
 
 
+EVENTS = "['100 Meters', ' 4x400', 'DMR', 'Sprint Medley', 'Swedish Relay', 'Mile', NULL][l_linenumber % 7 + 1]"
+
+
+@add("id_individual_signatures", f"""SELECT l_suppkey, count(*) FILTER (WHERE relay) AS relay_rows, count(*) FILTER (WHERE NOT relay) AS individual_rows, min(s) FILTER (WHERE NOT relay) AS first_signature, max(s) FILTER (WHERE NOT relay) AS last_signature
+  FROM (SELECT l_suppkey, coalesce(regexp_matches(lower(e), '^\\s*4x|relay|medley|^\\s*[ds]mr\\s*$'), false) AS relay, md5(concat_ws(chr(31), l_orderkey, l_partkey, coalesce(e, ''), l_returnflag, l_linestatus, l_linenumber)) AS s FROM (SELECT *, {EVENTS} AS e FROM lineitem)) GROUP BY 1""")
+def _(spark, sf):
+    names = F.array(*map(F.lit, ("100 Meters", " 4x400", "DMR", "Sprint Medley", "Swedish Relay", "Mile", None)))
+    rows = table(spark, sf, "lineitem").withColumn("e", F.element_at(names, (F.col("l_linenumber") % 7 + 1).cast("int")))
+    signature = identity.row_signature(*(F.col(c) for c in ("l_orderkey", "l_partkey", "e", "l_returnflag", "l_linestatus", "l_linenumber")))
+    rows = rows.select("l_suppkey", identity.is_relay(F.col("e")).alias("relay"), signature.alias("s"))
+    own = F.when(~F.col("relay"), F.col("s"))
+    return rows.groupBy("l_suppkey").agg(F.count_if("relay").alias("relay_rows"), F.count_if(~F.col("relay")).alias("individual_rows"), F.min(own).alias("first_signature"), F.max(own).alias("last_signature"))
+
+
+@add("id_resolve_rows", "SELECT s_nationkey AS page_id, s_suppkey AS person_id, s_suppkey AS row_index, ['id', 'name', 'similar'][s_suppkey % 3 + 1] AS method, CASE WHEN s_suppkey % 3 = 2 THEN 0.6 + 0.4 * 6 / 7 ELSE 1.0 END::DOUBLE AS score FROM supplier")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier").withColumn("kind", k % 3)
+    targets = s.select(F.col("s_nationkey").alias("page_id"), k.alias("person_id"), F.concat(F.lit("Ann  Key"), k).alias("name"), F.concat(F.lit("m"), k, F.lit(".5")).alias("mark"))
+    first = F.when(F.col("kind") == 0, "Zoe Other").when(F.col("kind") == 1, F.concat(F.lit("\u00c1NN key"), k)).otherwise(F.concat(F.lit("Anne Key"), k))
+    rows = s.select(F.col("s_nationkey").alias("page_id"), k.alias("row_index"), F.when(F.col("kind") == 0, k).alias("link_id"), first.alias("link_name"), F.concat(F.lit("1 (M"), k, F.lit(".5) w")).alias("row_text"))
+    return similarity.resolve_rows(targets, rows).drop("name", "mark")
+
+
 @add("id_exact_copies", "SELECT md5(text) AS signature, count(*) AS copies, min(doc_id) AS canonical FROM documents GROUP BY 1 HAVING count(*) > 1")
 def _(spark, sf):
     return table(spark, sf, "documents").groupBy(F.md5("text").alias("signature")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("canonical")).where("copies > 1")
@@ -320,6 +344,22 @@ def _(spark, sf):
     return catalog.latest_summary(table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
+@add("pub_program_index", "SELECT o_custkey, min(o_orderpriority) AS o_orderpriority, count(*) AS profile_row_count, count(DISTINCT o_orderstatus) AS o_orderstatus_count, count(DISTINCT o_orderpriority) AS o_orderpriority_count, min(o_orderdate) AS first_o_orderdate, max(o_orderdate) AS latest_o_orderdate FROM orders GROUP BY 1")
+def _(spark, sf):
+    c = _catalog(spark)
+    c.publish("core", "summary", table(spark, sf, "orders"))
+    c.alias({"explorer_summary": ("core", "summary")})
+    return catalog.program_index(spark.table("explorer_summary"), "o_custkey", ["o_orderpriority"], ["o_orderstatus", "o_orderpriority"], "o_orderdate")
+
+
+@add("pub_describe", "SELECT 'core' AS layer, 'nation' AS \"table\", i::INTEGER AS position, c AS \"column\", t AS type FROM (VALUES (0, 'n_nationkey', 'bigint'), (1, 'n_name', 'string'), (2, 'n_regionkey', 'bigint')) v(i, c, t)")
+def _(spark, sf):
+    c = _catalog(spark)
+    n = table(spark, sf, "nation")
+    c.publish("core", "nation", n.select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long")))
+    return c.describe([("core", "nation")])
+
+
 @add("pub_metric_pivot", "SELECT l_returnflag AS metric, max(l_quantity) FILTER (WHERE l_linestatus = 'O') AS \"O\", max(l_quantity) FILTER (WHERE l_linestatus = 'F') AS \"F\" FROM lineitem GROUP BY 1")
 def _(spark, sf):
     return catalog.metric_pivot(table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "metric"), "metric", "l_linestatus", ["O", "F"], "l_quantity")

@@ -90,6 +90,16 @@ class Catalog:
             out = row if out is None else out.unionByName(row)
         return out
 
+    def alias(self, names: dict[str, tuple[str, str]]) -> None:
+        """Views of this session by other names: name -> (layer, table)."""
+        for name, (layer, table) in names.items():
+            self.read(layer, table).createOrReplaceTempView(name)
+
+    def describe(self, tables: list[tuple[str, str]]) -> DataFrame:
+        """(layer, table, position, column, type) of the listed tables."""
+        rows = [(layer, name, i, f.name, f.dataType.simpleString()) for layer, name in tables for i, f in enumerate(self.read(layer, name).schema.fields)]
+        return self.spark.createDataFrame(rows, "layer string, table string, position int, column string, type string")
+
     def manifest(self, layer: str, name: str) -> DataFrame:
         """(file, bytes, sha256) of a table's files, hashed where they lie."""
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(self.path(layer, name))
@@ -123,6 +133,13 @@ def latest_summary(df: DataFrame, keys: list[str], time: list[str]) -> DataFrame
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def program_index(df: DataFrame, key: str, labels: list[str], counted: list[str], time: str) -> DataFrame:
+    """A row per key: its smallest labels, its rows, the distinct values of the counted columns and its first and last time."""
+    rest = [F.min(c).alias(c) for c in labels] + [F.count("*").alias("profile_row_count")]
+    rest += [F.size(F.collect_set(c)).cast("long").alias(f"{c}_count") for c in counted]
+    return df.groupBy(key).agg(*rest, F.min(time).alias(f"first_{time}"), F.max(time).alias(f"latest_{time}"))
+
+
 def metric_pivot(df: DataFrame, metric: str, columns: str, values: list, amount: str) -> DataFrame:
     """Metrics by the listed values of a column."""
     return df.groupBy(metric).pivot(columns, values).agg(F.max(amount))
