@@ -544,30 +544,29 @@ def test_mix_serves_equal_finish_times_in_a_fixed_order(spark):
     assert mixing.mix_sources(same).where("taken > 0").count() > 150
 
 
-def test_passage_that_no_task_holds_twice_makes_no_group(spark):
-    """A passage of many texts whose documents lie in tasks of their own is found by the count over all tasks."""
+def test_passage_that_no_task_holds_twice_makes_no_group(spark, monkeypatch):
+    """A passage of many texts whose documents lie in tasks of their own is found by the counts over all tasks."""
     rng = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(60))
     texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(100)]
     rows = [(i, f"{t} {passage}") for i, t in enumerate(texts)] + [(1000 + i, f"{texts[i]} {passage} extra") for i in range(3)]
-    nodes = ngram_join._node_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(103, "doc_id"), "doc_id", "text", 4)
-    nodes = materialize(nodes, "test-sets")
-    bits = ngram_join._bucket_bits(nodes, 85)
-    assert bits == 12
-    order = ngram_join._common_order(nodes.repartition(103, "id"), 85, bits)
-    # of the 57 shingles within the passage those that begin a set are frequent, and no list of the others is long
-    first = [ngram_join.prefix(np.frombuffer(r.items, np.uint64), order, 85)[0] for r in nodes.collect()]
-    counts = np.unique(np.concatenate(first), return_counts=True)[1]
-    assert counts.max() <= ngram_join.SHORT_LIST
-    empty = np.zeros((2, 0), np.uint64)
-    before = [ngram_join.prefix(np.frombuffer(r.items, np.uint64), empty, 85)[0] for r in nodes.collect()]
-    assert np.unique(np.concatenate(before), return_counts=True)[1].max() > ngram_join.SHORT_LIST
+    docs = spark.createDataFrame(rows + [(2000 + i, f"{texts[4]} copy") for i in range(70)], "doc_id long, text string")
+    nodes = materialize(ngram_join._node_table(docs, "doc_id", "text", 4), "test-sets")
+    nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    monkeypatch.setattr(ngram_join, "_frequent", lambda nodes: nothing)
+    sets = list({r.node: np.frombuffer(r.items, np.uint64) for r in nodes.collect()}.values())
+
+    def longest(order):
+        return np.unique(np.concatenate([ngram_join.prefix(x, order, 85)[0] for x in sets]), return_counts=True)[1].max()
+
+    assert longest(ngram_join._ordered(*nothing)) > ngram_join.SHORT_LIST
+    order = ngram_join._common_order(nodes.repartition(50), 85, ngram_join._first_shingles(nodes, 85))
+    assert longest(order) <= ngram_join.SHORT_LIST
+    own = ngram_join.shingle_hashes(f"{texts[4]} copy".encode(), 4)
+    assert order.shape[1] <= 57 and not np.isin(own, order[0]).any()  # equal texts are one node, their shingles are not frequent
     linked = {r.node: r.component for r in ngram_join.similar_sets(nodes, 85).collect()}
     assert len(linked) == 6 and len(set(linked.values())) == 3
 
 
-def test_bucket_bits_follow_the_size_of_the_table(spark):
-    def bits(n):
-        return ngram_join._bucket_bits(spark.createDataFrame([(1, n)], "node long, n long"), 85)
-
-    assert [bits(n) for n in (0, 10**6, 10**10, 10**11, 10**14)] == [12, 12, 13, 16, 18]
+def test_bucket_bits_follow_the_size_of_the_table():
+    assert [ngram_join._bucket_bits(n) for n in (0, 10**6, 10**9, 2 * 10**9, 10**10, 10**14)] == [12, 12, 12, 13, 16, 18]

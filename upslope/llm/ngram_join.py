@@ -47,6 +47,9 @@ MAX_FREQUENT = 1 << 18
 #: Entries of inverted lists that one bucket should hold, and the bits that number the buckets.
 _BUCKET_ENTRIES = 1 << 18
 _BUCKET_BITS = (12, 18)
+#: Counts of first shingles over the whole table, and the share of them that new long lists must hold for another.
+_ROUNDS = 8
+_WORTH = 0.01
 #: Longest inverted list of which all pairs are counted.
 SHORT_LIST = 64
 #: Groups above so many nodes are cut into blocks of about half as many, up to ``MOST_BLOCKS`` unless memory asks for more.
@@ -88,10 +91,14 @@ def _node_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
     return map_arrow(docs.select(F.col(id_col), utf8(F.col(text_col)).alias("t")), sets, f"id {kind}, n long, node long, items binary")
 
 
-def _bucket_bits(nodes: DataFrame, percent: int) -> int:
-    """Bits of a hash that number the buckets of inverted lists: more for larger tables, so that a bucket stays in memory."""
+def _first_shingles(nodes: DataFrame, percent: int) -> int:
+    """About how many shingles come first in their sets."""
     size = nodes.where("node is not null").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
-    entries = (size.n or 0) * (100 - percent) // 100 + size.rows
+    return (size.n or 0) * (100 - percent) // 100 + size.rows
+
+
+def _bucket_bits(entries: int) -> int:
+    """Bits of a hash that number the buckets of inverted lists: more for larger tables, so that a bucket stays in memory."""
     low, high = _BUCKET_BITS
     return min(high, max(low, math.ceil(math.log2(max(1, entries / _BUCKET_ENTRIES)))))
 
@@ -162,15 +169,30 @@ def _frequent(nodes: DataFrame, least: int = 2) -> tuple[np.ndarray, np.ndarray]
     return found
 
 
-def _common_order(nodes: DataFrame, percent: int, bits: int) -> np.ndarray:
+def _common_order(nodes: DataFrame, percent: int, entries: int) -> np.ndarray:
     """Sorted hashes and places of the shingles that come last in the common order.
 
     Those that stand out within tasks make a first order.  The first shingles of all sets
     under it are counted over the whole table; a list above ``SHORT_LIST`` makes its shingle frequent
-    as well, so that its documents meet in rarer ones.
+    as well, so that its documents meet in rarer ones.  As those may be frequent too, the count is repeated,
+    ``_ROUNDS`` times at most, while what it finds holds a share of ``_WORTH`` of all first shingles.
     """
     h, c = _frequent(nodes)
-    shared = nodes.sparkSession.sparkContext.broadcast(_ordered(h, c))
+    for _ in range(_ROUNDS):
+        more, n = _long_lists(nodes, _ordered(h, c), percent, _bucket_bits(entries))
+        new = n[~np.isin(more, h)].sum()
+        every, at = np.unique(np.concatenate([h, more]), return_inverse=True)
+        most = np.zeros(len(every), np.int64)
+        np.maximum.at(most, at, np.concatenate([c, n]))
+        h, c = every, most
+        if new < _WORTH * entries:
+            break
+    return _ordered(h, c)
+
+
+def _long_lists(nodes: DataFrame, frequent: np.ndarray, percent: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and lengths of the lists above ``SHORT_LIST`` nodes, the longest at most ``MAX_FREQUENT``."""
+    shared = nodes.sparkSession.sparkContext.broadcast(frequent)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -229,12 +251,9 @@ def _common_order(nodes: DataFrame, percent: int, bits: int) -> np.ndarray:
     dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
     long = materialize(map_arrow(dealt, total, "h long, c long"), "ngram-long")
     shared.unpersist()
-    more, n = _most_frequent(long, SHORT_LIST + 1)
+    found = _most_frequent(long, SHORT_LIST + 1)
     drop_tables(long)
-    u, at = np.unique(np.concatenate([h, more]), return_inverse=True)
-    most = np.zeros(len(u), np.int64)
-    np.maximum.at(most, at, np.concatenate([c, n]))
-    return _ordered(u, most)
+    return found
 
 
 def prefix(items: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -504,8 +523,8 @@ def similar_sets(nodes: DataFrame, percent: int, block_shingles: int = 1_000_000
     does not read are added to ``written``.
     """
     spark = nodes.sparkSession
-    bits = _bucket_bits(nodes, percent)
-    edges = _candidate_edges(nodes, _common_order(nodes, percent, bits), percent, bits)
+    entries = _first_shingles(nodes, percent)
+    edges = _candidate_edges(nodes, _common_order(nodes, percent, entries), percent, _bucket_bits(entries))
     groups = connected_components(edges)
     drop_tables(edges)
     bitmap = spark.sparkContext.broadcast(_candidate_bits(groups))
