@@ -1,9 +1,14 @@
 """Invariants and edge cases of the analytics operators."""
 
+import random
+import re
+from collections import Counter
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
-from upslope.functions.similarity import resolve_rows
+from upslope.functions.similarity import folded, resolve_rows
 from upslope.operators import checks, graph, identity, levels, points, stats, windows
 from upslope.plans import identity as identity_plans
 from upslope.scratch import drop_path, materialize, new_path, shared_dir
@@ -269,3 +274,67 @@ def test_resolved_rows_take_the_first_method_that_finds_any(spark):
     rows = [(1, 0, None, "Ann Lee", "x 10.52"), (1, 1, 7, "Someone", "y"), (1, 2, None, "Rob Roe", "10.52h"), (1, 3, None, "Bobby Roe", "10.52"), (1, 4, None, "Bob Row", "11.0"), (1, 5, None, "JOSE Diaz", ""), (1, 6, None, None, "10.52")]
     got = resolve_rows(targets, spark.createDataFrame(rows, "page_id long, row_index int, link_id long, link_name string, row_text string")).collect()
     assert sorted((r.person_id, r.row_index, r.method, round(r.score, 4)) for r in got) == [(7, 1, "id", 1.0), (8, 3, "similar", 0.9), (9, 5, "name", 1.0)]
+
+
+def plain_resolution(targets, rows):
+    """The rows of each target by looking at every pair of a page."""
+    def token(text):
+        return re.sub("[^a-z0-9.:]", "", (text or "").lower())
+
+    found = []
+    for t in targets:
+        pairs = []
+        for r in rows:
+            if t[0] is None or t[0] != r[0]:
+                continue
+            a, b = folded(t[2]), folded(r[3])
+            if t[1] is not None and t[1] == r[2]:
+                pairs.append((1, -1.0, r[1]))
+            elif a and a == b:
+                pairs.append((2, -1.0, r[1]))
+            elif a and r[3] is not None and token(t[3]) and token(t[3]) in token(r[4]):
+                last, first = (SequenceMatcher(None, a.split(" ")[k], b.split(" ")[k], autojunk=False).ratio() for k in (-1, 0))
+                if last >= 0.8 and first >= 0.4:
+                    pairs.append((3, -(0.6 * last + 0.4 * first), r[1]))
+        found += [(*t, row, ["id", "name", "similar"][step - 1], -cost) for step, cost, row in pairs if (step, cost) == min(pairs)[:2]]
+    return found
+
+
+def test_resolved_rows_equal_a_look_at_every_pair(spark):
+    draw = random.Random(5)
+    firsts, lasts = ["Ann", "Anne", "ÁNN", "Bob", "Rob", "Bobby", "Zoe"], ["Lee", "Leigh", "Diaz", "Díaz", "Díez", "Roe", "Rowe", "Garcia-Lopez", "García Lopes"]
+    odd = [None, "", " ", "\t", "\u0301", "Ann Lee", "Ann  Lee\n", "Lee", "Ann \u0301"]
+    marks = [None, "", "h", "9", "10.5", "10.52", "1:02.5", "Long jump 7.12m (+1.2) and more", "long jump 7.12m (+1.2) and less"]
+
+    def name():
+        return draw.choice(odd) if draw.random() < 0.2 else f"{draw.choice(firsts)} {draw.choice(lasts)}"
+
+    def some(n):
+        return draw.choice([None, *range(n)])
+
+    targets = [(some(3), some(60), name(), draw.choice(marks)) for _ in range(150)]
+    rows = [(some(3), i, some(60) if draw.random() < 0.2 else None, name(), " ".join(str(draw.choice(marks)) for _ in range(3))) for i in range(150)]
+    rows += rows[:5]
+    left = spark.createDataFrame(targets, "page_id long, person_id long, name string, mark string")
+    right = spark.createDataFrame(rows, "page_id long, row_index int, link_id long, link_name string, row_text string")
+    want = Counter(plain_resolution(sorted(set(targets), key=str), rows))
+    got = Counter(map(tuple, resolve_rows(left.distinct(), right).collect()))
+    assert got == want and {m[-2] for m in want} == {"id", "name", "similar"}
+    assert resolve_rows(left.limit(0), right).count() == resolve_rows(left, right.limit(0)).count() == 0
+
+
+def test_resolved_rows_join_no_pairs_of_a_page(spark):
+    n = 300
+    targets = spark.range(n).selectExpr("1L AS page_id", "id AS person_id", "concat('Ann Key', id) AS name", "concat('m', id, '.5') AS mark")
+    rows = spark.range(n).selectExpr("1L AS page_id", "id AS row_index", "CAST(NULL AS LONG) AS link_id", "concat('Anne Key', id) AS link_name", "concat('1 (M', id, '.5)') AS row_text")
+    assert len(resolve_rows(targets, rows).collect()) == n
+    store = spark._jsparkSession.sharedState().statusStore()
+    run = store.executionsList().last().executionId()
+    metrics, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+    made = []
+    for i in range(nodes.size()):
+        for k in range(nodes.apply(i).metrics().size()):
+            m = nodes.apply(i).metrics().apply(k)
+            if m.name() == "number of output rows" and metrics.contains(m.accumulatorId()):
+                made.append(int(metrics.apply(m.accumulatorId()).replace(",", "")))
+    assert n <= max(made) <= 10 * n
