@@ -41,6 +41,16 @@ def test_query_equals_sql(spark, small, duck, name):
     assert got == want, next((a, b) for a, b in zip(got, want) if a != b)
 
 
+def test_resolved_scores_equal_sql_to_the_last_digit(spark, medium):
+    name = "id_resolve_rows"
+    columns = ["page_id", "person_id", "row_index", "method", "score"]
+    got = entry.queries()[name](spark, medium)
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{medium}/supplier.parquet')")
+        want = con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(want)
+
+
 def test_every_query_name_is_registered_once():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
