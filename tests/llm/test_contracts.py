@@ -145,6 +145,18 @@ def test_shards(spark, small, docs):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_shards_hold_the_documents(spark, small, docs, tmp_path, monkeypatch):
+    path = str(tmp_path / "shards")
+    monkeypatch.setattr(Q, "new_path", lambda *_: path)
+    got = rows(spark, small, "op7_shards")
+    kept = spark.read.parquet(path).collect()
+    assert len(kept) == len(docs)
+    want = {d["doc_id"]: d for d in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in kept:
+        assert all(r[c] == v for c, v in want.pop(r.doc_id).asDict().items())
+        assert (r.shard, r.slot) == (got[r.doc_id]["shard"], got[r.doc_id]["slot"])
+
+
 def test_lm_scoring(spark, small, docs):
     got = rows(spark, small, "op6_gru_scoring")
     out = {d["doc_id"]: zlib.crc32(str(d["doc_id"]).encode()) % 7 == 2 for d in docs}

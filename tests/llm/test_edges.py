@@ -490,6 +490,17 @@ def test_written_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).groupBy("shard").count().agg(F.max("count")).first()[0] == 13
 
 
+def test_shards_written_in_order_are_the_same(spark, tmp_path):
+    docs = spark.createDataFrame([(i % 900, f"t{i % 900}", f"s{i}") for i in range(1000)] + [(None, None, "s")] * 40, "doc_id long, text string, source string")
+    want = sorted(map(str, sharding.shard_records(docs, 4, carry=["text", "source"], bucket_rows=20).collect()))
+    placed = sharding.shard_records(docs, 4, carry=["text", "source"], bucket_rows=20, in_order=True)
+    back = sharding.write_shards(placed, str(tmp_path / "shards"), in_order=True)
+    assert sorted(map(str, back.collect())) == want
+    files = back.groupBy(F.input_file_name(), "shard").agg((F.max("slot") - F.min("slot") + 1 - F.count("*")).alias("gaps")).collect()
+    assert len(files) >= 4 and not any(f.gaps for f in files)
+    assert sharding.write_shards(sharding.shard_records(docs.limit(0), carry=["text"], in_order=True), str(tmp_path / "none"), in_order=True).count() == 0
+
+
 PAGES = "page_id long, url string, html string, host string, lines string, kept string, bad_host string, node string, src string, rule string"
 
 

@@ -44,8 +44,10 @@ def op6_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.write_shards(sharding.shard_records(_table(spark, sf_dir, "documents")), new_path(spark, "shards"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = _table(spark, sf_dir, "documents")
+    placed = sharding.shard_records(docs, carry=[c for c in docs.columns if c != "doc_id"], in_order=True)
+    found = sharding.write_shards(placed, new_path(spark, "shards"), in_order=True).withColumns(sharding.text_digest(F.col("text")))
+    return found.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

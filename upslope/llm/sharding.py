@@ -22,6 +22,8 @@ from upslope.scratch import materialize
 LAW = "rows"
 #: Bytes of an index in the state of a permutation.
 _INDEX = 3
+#: Most buckets whose starts are sent to all tasks.
+_SENT = 500_000
 
 
 def draw_permutation(n: Column, bucket: Column, seed: int) -> Column:
@@ -53,6 +55,12 @@ def shuffle_rows(rows: Column, bucket: Column, seed: int) -> Column:
     return F.transform(F.array(bound), order)[0]
 
 
+def text_digest(text: Column) -> dict[str, Column]:
+    """``size`` (UTF-8 bytes plus 8) and ``text_crc32`` of a text; a null text counts as empty."""
+    data = F.coalesce(text.cast("string"), F.lit("")).cast("binary")
+    return {"size": (F.octet_length(data) + 8).cast("long"), "text_crc32": F.crc32(data)}
+
+
 def shard_records(
     docs: DataFrame,
     n_shards: int = 24,
@@ -62,6 +70,7 @@ def shard_records(
     seed: int = 1,
     bucket_rows: int = 2048,
     bucket_bytes: int = 4 << 20,
+    in_order: bool = False,
 ) -> DataFrame:
     """Every row with its shard and its slot in that shard.
 
@@ -74,15 +83,17 @@ def shard_records(
     Rows that agree in everything returned are numbered, so copies are scattered like other
     rows and none of them fills a bucket.  An empty table gives no
     rows.  ``bucket_rows`` and ``bucket_bytes`` bound what one bucket holds on
-    average; the number of buckets follows the input.
+    average; the number of buckets follows the input.  With ``in_order`` ranges of
+    buckets are dealt to tasks, so that each holds a stretch of the order (up to
+    ``_SENT`` buckets), ready for ``write_shards``; places are the same either way.
     """
     own = [id_col, "size", "text_crc32", "shard", "slot"]
     extra = [c for c in carry or [] if c not in own]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    digest = text_digest(F.col(text_col))
     rows = docs.select(
         F.col(id_col).alias("id"),
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text).alias("crc"),
+        digest["size"].alias("size"),
+        digest["text_crc32"].alias("crc"),
         *([F.struct(*[F.col(c) for c in extra]).alias("rec")] if extra else []),
     )
     counts = count_copies(rows.select("id", "size", "crc"))
@@ -99,10 +110,11 @@ def shard_records(
     n_buckets = max(1, math.ceil(total.n / bucket_rows), math.ceil(total.b / bucket_bytes) if extra else 0)
     keyed = keyed.withColumn("h", F.xxhash64(F.lit(seed), *keyed.columns)).withColumn("bucket", F.pmod("h", F.lit(n_buckets)))
     record = F.struct("h", *(c for c in keyed.columns if c not in ("h", "bucket")))
-    filled = keyed.select("bucket", record.alias("r")).groupBy("bucket").agg(F.collect_list("r").alias("rs"))
-    starts = prefix_sums(keyed.groupBy("bucket").agg(F.count("*").alias("rows")), [], "bucket", "rows", "start")
+    dealt = keyed.select("bucket", record.alias("r"))
+    filled = (dealt.repartitionByRange("bucket") if in_order else dealt).groupBy("bucket").agg(F.collect_list("r").alias("rs"))
+    starts = prefix_sums(keyed.groupBy("bucket").agg(F.count("*").alias("rows")), [], "bucket", "rows", "start").select("bucket", "start")
     placed = (
-        filled.join(starts.select("bucket", "start"), "bucket")
+        filled.join(F.broadcast(starts) if in_order and n_buckets <= _SENT else starts, "bucket")
         .select("start", F.posexplode(shuffle_rows(F.col("rs"), F.col("bucket"), seed)).alias("i", "r"))
         .select((F.col("start") + F.col("i")).alias("at"), "r.*")
     )
@@ -118,13 +130,15 @@ def shard_records(
     )
 
 
-def write_shards(sharded: DataFrame, path: str) -> DataFrame:
+def write_shards(sharded: DataFrame, path: str, in_order: bool = False) -> DataFrame:
     """Write one folder for each shard and return a scan of them.
 
     Ranges of (shard, slot) are written as files in slot order, so a large shard is
-    written by many tasks.  An empty table writes no shard.
+    written by many tasks.  With ``in_order`` tasks hold such ranges already
+    (``shard_records``), and no record is moved again.  An empty table writes no shard.
     """
-    ordered = sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ranged = sharded if in_order else sharded.repartitionByRange("shard", "slot")
+    ordered = ranged.sortWithinPartitions("shard", "slot")
     ordered.write.mode("overwrite").partitionBy("shard").parquet(path)
     columns = [c for c in sharded.schema if c.name != "shard"] + [sharded.schema["shard"]]
     return sharded.sparkSession.read.schema(type(sharded.schema)(columns)).parquet(path).select(*sharded.columns)
